@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from palimpsest.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from palimpsest.llm.mixing import op10_mixing
+from palimpsest.llm.url_filter import OP5_SQL, op5_url_filter
 
 
 def queries():
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op5_url_filter": op5_url_filter,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}

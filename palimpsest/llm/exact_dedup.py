@@ -43,12 +43,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = ["n_bytes", "head", "tail"]
     shared = materialize(base.groupBy(*ends).agg(F.count("*").alias("n")).where("n > 1").select(*ends), "ends")
 
-    # Both sides of this join are dealt out for it alone, so a key with many rows can be split.
+    # Both sides of this join are dealt out for it alone, so a key with many rows can be split.  It is a
+    # merge join at every size: texts move once, and nothing depends on whether ``shared`` can be broadcast.
     count = F.greatest(F.ceil(F.col("n_bytes") / block_bytes), F.lit(1)).cast("int")
     cut = f"transform(sequence(0, n_blocks - 1), i -> substring(b, i * {block_bytes} + 1, {block_bytes}))"
     rows = (
         base.withColumn("sha", F.sha2("b", 256))
-        .join(shared.withColumn("again", F.lit(True)), ends, "left")
+        .join(shared.withColumn("again", F.lit(True)).hint("merge"), ends, "left")
         .withColumn("n_blocks", count)
         .select(
             F.monotonically_increasing_id().alias("uid"), "doc_id", F.unhex("sha").alias("sha"), F.col("again").isNotNull().alias("again"),

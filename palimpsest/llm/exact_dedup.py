@@ -66,14 +66,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
     member = open_rows.select("uid", "doc_id", "sha").join(identity, "uid")
-    # The third key makes both sides of the join dealt out anew, so that a large group can be split.
-    member = materialize(member.withColumn("part", F.col("name") % 1024), "members")
-    group = member.groupBy("level", "name", "part").agg(F.min(who).alias("first"), F.count("*").alias("group_size"))
-    group = group.withColumn("part2", F.col("part") + F.lit(0))
-    met = member.alias("m").join(
-        group.alias("g"),
-        (F.col("m.level") == F.col("g.level")) & (F.col("m.name") == F.col("g.name")) & (F.col("m.part") == F.col("g.part2")),
-    )
+    # The third key, which no side is dealt by yet, makes the join deal out both, so a large group can be split.
+    part = F.pmod(F.xxhash64("name"), F.lit(1024))
+    member = materialize(member, "members").withColumn("part", part)
+    group = member.groupBy("level", "name").agg(F.min(who).alias("first"), F.count("*").alias("group_size")).withColumn("part", part)
+    met = member.alias("m").join(group.alias("g"), ["level", "name", "part"])
     met = met.select(
         "m.doc_id", F.col("g.first.id").alias("keep_id"), "g.group_size", (F.col("m.uid") == F.col("g.first.uid")).alias("kept"), F.lower(F.hex("m.sha")).alias("text_sha256")
     )

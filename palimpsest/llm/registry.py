@@ -6,6 +6,7 @@ from palimpsest.llm.bpe import op8_bpe
 from palimpsest.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from palimpsest.llm.language_id import op7_language_id
 from palimpsest.llm.mixing import op10_mixing
+from palimpsest.llm.near_dedup import op2_near_dedup
 from palimpsest.llm.token_count import op9_token_count
 from palimpsest.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -13,6 +14,7 @@ from palimpsest.llm.url_filter import OP5_SQL, op5_url_filter
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_near_dedup": op2_near_dedup,
         "op5_url_filter": op5_url_filter,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,

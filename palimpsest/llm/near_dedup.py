@@ -9,8 +9,8 @@ A value in at most ``LONG_LIST`` sketches gives all pairs of its list, so a node
 them.  A value in more sketches gives no pairs.  A node with enough other values needs none from there: any
 partner above the threshold shares several of the others.  The rest, nodes whose sketches are nearly all
 common values, are dealt with in long lists by blocks: each list's nodes are split into blocks of bounded
-size, every two blocks meet in one task with their full sets, and only a spanning forest of the exact
-links leaves it.  So no link between different texts is lost to a cap, and a group of thousands of near
+size, every two blocks meet in one task with their full sets, and what leaves it is one row per node that
+exact links join to a smaller one.  So no link between different texts is lost to a cap, and a group of thousands of near
 copies leaves about as many rows as it has members.
 """
 
@@ -98,7 +98,7 @@ def _sets(width: int, rows_out: bool):
 
 
 def _forest(threshold: int):
-    """Links of two blocks of one list: a spanning forest of all pairs at the threshold, within and across."""
+    """Two blocks of one list: each node with the smallest that it reaches by links at the threshold, within and across."""
 
     def run(df: pa.Table) -> pa.Table:
         nodes, first = np.unique(df.column("node").to_numpy(), return_index=True)
@@ -112,14 +112,6 @@ def _forest(threshold: int):
         _, column = np.unique(at[common], return_inverse=True)
         owner = owner[common]
         wide = int(column.max()) + 1 if len(column) else 0
-        root = np.arange(len(nodes))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
         overlap = np.zeros((len(nodes), len(nodes)), np.float32)
         for c in range(0, wide, 4096):  # a strip of columns at a time
             here = (column >= c) & (column < c + 4096)
@@ -127,15 +119,16 @@ def _forest(threshold: int):
             strip[owner[here], column[here] - c] = 1
             overlap += strip @ strip.T
         linked = 100 * overlap >= threshold * (n[:, None] + n[None, :] - overlap)
-        a, b = np.nonzero(np.triu(linked, 1))
-        out_a, out_b = [], []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out_a.append(nodes[i])
-                out_b.append(nodes[j])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        np.fill_diagonal(linked, True)
+        root = np.arange(len(nodes))
+        while True:  # each node takes the smallest root among its neighbours', then that one's own
+            new = np.where(linked, root, len(nodes)).min(1)
+            new = np.minimum(new, new[new])
+            if (new == root).all():
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[root[moved]], pa.int64()), "b": pa.array(nodes[moved], pa.int64())})
 
     return run
 
@@ -193,7 +186,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _links(source: DataFrame, nodes: DataFrame, schema: str, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) of nodes: all that have at most short lists in common, and a forest of the others."""
+    """Links (a, b) of nodes: exact ones found by short lists, and what those in long lists join."""
     t = threshold / 100
     entries = nodes.select("node", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))
     often = materialize(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often")

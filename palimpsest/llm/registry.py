@@ -8,6 +8,7 @@ from palimpsest.llm.language_id import op7_language_id
 from palimpsest.llm.mixing import op10_mixing
 from palimpsest.llm.near_dedup import op2_near_dedup
 from palimpsest.llm.token_count import op9_token_count
+from palimpsest.llm.topk import OP6_SQL, op6_topk
 from palimpsest.llm.url_filter import OP5_SQL, op5_url_filter
 
 
@@ -16,6 +17,7 @@ def queries():
         "op1_exact_dedup": op1_exact_dedup,
         "op2_near_dedup": op2_near_dedup,
         "op5_url_filter": op5_url_filter,
+        "op6_topk": op6_topk,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
         "op9_token_count": op9_token_count,
@@ -24,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_topk": OP6_SQL}

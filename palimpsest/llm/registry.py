@@ -7,6 +7,7 @@ from palimpsest.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from palimpsest.llm.language_id import op7_language_id
 from palimpsest.llm.mixing import op10_mixing
 from palimpsest.llm.near_dedup import op2_near_dedup
+from palimpsest.llm.pii import op4_pii
 from palimpsest.llm.quality import op3_quality
 from palimpsest.llm.token_count import op9_token_count
 from palimpsest.llm.topk import OP6_SQL, op6_topk
@@ -18,6 +19,7 @@ def queries():
         "op1_exact_dedup": op1_exact_dedup,
         "op2_near_dedup": op2_near_dedup,
         "op3_quality": op3_quality,
+        "op4_pii": op4_pii,
         "op5_url_filter": op5_url_filter,
         "op6_topk": op6_topk,
         "op7_language_id": op7_language_id,

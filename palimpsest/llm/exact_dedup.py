@@ -12,7 +12,7 @@ long unique texts are not dealt out block by block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize, release, table, with_collapsed_space
@@ -101,6 +101,21 @@ def _identities(rows: DataFrame) -> DataFrame:
     return out
 
 
+def exact_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one for each distinct text."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    named = with_collapsed_space(docs, text_col, "__text").withColumn("__named", F.sha2(F.col("__text").cast("binary"), 256)).drop("__text")
+    met = named.join(kept.hint("merge"), named[id_col].eqNullSafe(kept["__id"]) & (named["__named"] == kept["__sha"]), "left_semi")
+    again = materialize(docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "again")
+    if not again.limit(1).count():
+        return met.select(*docs.columns)
+    # Rows that share both id and text with another are told apart by their order alone; one of them stays.
+    here = met[id_col].eqNullSafe(again["__id"])
+    first = Window.partitionBy(id_col, "__named").orderBy(F.lit(0))
+    once = met.join(again, here, "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1")
+    return met.join(again, here, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

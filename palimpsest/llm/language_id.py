@@ -149,8 +149,8 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     return LanguageFilter(profiles, most["lang"] if most else None)
 
 
-def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs``, lang_pred and score.
+def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs``, and named by ``out`` the language and its score.
 
     A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.
     A text with letters always gets a learned language: without any evidence the most frequent one, with
@@ -164,10 +164,10 @@ def identify(docs: DataFrame, model: LanguageFilter, keep: list[str], text_col:
             for i, j in in_parts(texts):
                 names, score = shared.value.decide(texts[i:j])
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, *out])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(out[0], "string").add(out[1], "double")
     return rows.mapInArrow(run, schema)
 
 

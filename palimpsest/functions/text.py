@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.functions import vocabulary as V
 
@@ -19,6 +20,11 @@ _SINGLE = {chr(k): v for k, v in V.CONFUSABLE.items() if len(v) == 1}
 _MULTIPLE = {chr(k): v for k, v in V.CONFUSABLE.items() if len(v) > 1}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once and not again for each element that a lambda meets."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_invisible(text: Column) -> Column:
     """CAN-01."""
     return F.translate(text, V.INVISIBLE, "")
@@ -40,13 +46,15 @@ def kernel(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """CAN-04: Shannon bits a character, summed in the order of characters; 0 for the empty string.
 
-    The characters are sorted and each one counted by its first and last place.
+    A character's count is how much shorter the text is without it.
     """
-    chars = F.array_sort(F.split(text, ""))
-    n = F.length(text)
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))
-    bits = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n))
-    return F.when(n == 0, F.lit(0.0)).otherwise(bits)
+
+    def bits(t: Column) -> Column:
+        n = F.length(t)
+        counts = F.transform(F.array_sort(F.array_distinct(F.split(t, ""))), lambda c: n - F.length(F.replace(t, c, F.lit(""))))
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n)))
+
+    return let(text, bits)
 
 
 def is_candidate(run: Column, encoding: str) -> Column:
@@ -58,8 +66,12 @@ def is_candidate(run: Column, encoding: str) -> Column:
 def decoded(run: Column, encoding: str) -> Column:
     """CAN-06: the text that a candidate encodes, strictly, or null."""
     strict = STRICT_HEX if encoding == "hex" else STRICT_BASE64
-    raw = F.when(run.rlike(strict), F.try_to_binary(run, F.lit(encoding)))
-    return F.when(is_candidate(run, encoding) & F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+
+    def inside(r: Column) -> Column:
+        raw = F.when(r.rlike(strict), F.try_to_binary(r, F.lit(encoding))).cast("string")
+        return F.when(is_candidate(r, encoding) & F.is_valid_utf8(raw), raw)
+
+    return let(run, inside)
 
 
 def maximal_runs(text: Column, encoding: str) -> Column:
@@ -67,7 +79,7 @@ def maximal_runs(text: Column, encoding: str) -> Column:
     return F.regexp_extract_all(text, F.lit(HEX_RUN if encoding == "hex" else BASE64_RUN), F.lit(0))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def normalized(text: pa.Array) -> pa.Array:
     """TXT-01: NFKC, lower case, Unicode white space collapsed.  The JVM's tables are of another Unicode version."""
     form = unicodedata.normalize
@@ -137,7 +149,7 @@ def is_ssh_key(text: Column) -> Column:
     words = F.split(text, " ")
     algorithm, key = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     blob = F.when(key.rlike(STRICT_BASE64), F.try_to_binary(key, F.lit("base64")))
-    n = F.conv(F.hex(F.substring(blob, 1, 4)), 16, 10).cast("int")
+    n = F.least(F.conv(F.hex(F.substring(blob, 1, 4)), 16, 10).cast("long"), F.lit(1 << 16)).cast("int")
     return F.coalesce(F.substring(blob, F.lit(5), n) == algorithm.cast("binary"), F.lit(False))
 
 
@@ -145,3 +157,17 @@ def repository_identity(source: Column) -> Column:
     """TXT-12: repository, revision and path of ``github.com/repository@revision:path``."""
     part = lambda i: F.regexp_extract(source, r"^github\.com/([^:]*)@([^:@]*):(.*)$", i)
     return F.struct(part(1).alias("repository"), part(2).alias("revision"), part(3).alias("path"))
+
+
+def replayed(text: Column, edits: Column) -> Column:
+    """CAN-13: what a stage's edits make of its input, piece by piece."""
+    two = F.struct(F.split(text, "").alias("chars"), edits.alias("edits"))
+
+    def joined(x: Column) -> Column:
+        chars, found = x["chars"], x["edits"]
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end"])
+        pieces = F.transform(found, lambda e, i: F.concat(F.slice(chars, before(i) + 1, e["start"] - before(i)), F.array(e["after"])))
+        done = F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0))
+        return F.array_join(F.concat(F.flatten(pieces), F.slice(chars, done + 1, F.size(chars))), "")
+
+    return let(two, joined)

@@ -1,11 +1,806 @@
-"""All queries of the engine by name, with the SQL that gives the same rows."""
+"""All queries of the engine by name, with the DuckDB SQL that gives the same rows where SQL can.
+
+Names carry the identifiers of the operator inventory.  Queries run over whole tables and whole texts.
+Double columns are rounded to nine places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import canon as K
+from palimpsest.functions import dressings as D
+from palimpsest.functions import stats as S
+from palimpsest.functions import text as T
+from palimpsest.functions import vocabulary as V
+from palimpsest.operators import cells as C
+from palimpsest.operators import corpus as P
+from palimpsest.operators import findings as N
+from palimpsest.operators import report as R
+from palimpsest.operators import scoring as M
+from palimpsest.plans import sql as Q
+from palimpsest.sources import files as W
+from palimpsest.sources import tables as I
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
+
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "documents")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.render(I.payloads(spark, sf_dir))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.score_items(_items(spark, sf_dir), M.baseline_table(spark))
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.keyed(_scores(spark, sf_dir), M.baseline_table(spark))
+
+
+def _shared(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/palimpsest').rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, where many producers read it."""
+    path = f"{_shared(df.sparkSession)}/{tag}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(C.cells(_cut(_keyed(spark, sf_dir), "keyed")), "cells")
+
+
+# --- text kernel and canonicalizer -----------------------------------------------------------------
+
+@query("can01_strip_invisible", f"SELECT doc_id, sha256(translate({Q.dress('text', ('zero_width',))}, {Q.text(V.INVISIBLE)}, '')) AS digest FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.digest(T.strip_invisible(D.zero_width(F.col("text")))).alias("digest"))
+
+
+@query("can02_fold_confusables", f"SELECT doc_id, sha256({Q.kernel(Q.dress('text', ('homoglyph',)))}) AS digest FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.digest(T.kernel(D.homoglyph(F.col("text")))).alias("digest"))
+
+
+_RUNS = "r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=]+')) AS run FROM documents), w AS (SELECT DISTINCT run FROM r WHERE length(run) >= 12)"
+
+
+@query("can04_entropy", f"WITH {_RUNS} SELECT run, round((SELECT entropy(c) FROM (SELECT unnest(string_split(run, '')) AS c)), 9) + 0.0 AS bits FROM w")
+def _(spark, sf):
+    runs = _docs(spark, sf).select(F.explode(T.maximal_runs(F.col("text"), "base64")).alias("run")).where(F.length("run") >= 12).distinct()
+    return runs.select("run", T.entropy(F.col("run")).alias("bits"))
+
+
+@query("can05_candidates", f"""WITH {_RUNS}, e AS (SELECT run, (SELECT entropy(c) FROM (SELECT unnest(string_split(run, '')) AS c)) AS bits FROM w)
+SELECT run, regexp_full_match(run, '[0-9A-Fa-f]+') AND length(run) >= 16 AND bits >= 2.5 AS hex, length(run) >= 24 AND bits >= 3.0 AS base64 FROM e""")
+def _(spark, sf):
+    runs = _docs(spark, sf).select(F.explode(T.maximal_runs(F.col("text"), "base64")).alias("run")).where(F.length("run") >= 12).distinct()
+    return runs.select("run", T.is_candidate(F.col("run"), "hex").alias("hex"), T.is_candidate(F.col("run"), "base64").alias("base64"))
+
+
+@query("can06_decode_strict", """SELECT doc_id, sha256(text) AS from_hex, sha256(text) AS from_base64 FROM documents WHERE length(text) >= 100""")
+def _(spark, sf):
+    rows = _docs(spark, sf).where(F.length("text") >= 100)
+    back = lambda link, enc: T.digest(T.decoded(link(F.col("text")), enc))
+    return rows.select("doc_id", back(D.to_hex, "hex").alias("from_hex"), back(D.to_base64, "base64").alias("from_base64"))
+
+
+@query("can07_maximal_runs", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9+/=]+')) AS BIGINT) AS wide, CAST(len(regexp_extract_all(text, '[0-9A-Fa-f]{16,}')) AS BIGINT) AS hexes FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", *[F.size(T.maximal_runs(F.col("text"), e)).cast("long").alias(n) for e, n in (("base64", "wide"), ("hex", "hexes"))])
+
+
+@query("can03_nfkc_stage", "SELECT doc_id, sha256(text) AS digest, CAST(0 AS BIGINT) AS edits FROM documents")
+def _(spark, sf):
+    out = _docs(spark, sf).select("doc_id", K.stage_udf("nfkc")("text").alias("r"))
+    return out.select("doc_id", T.digest(F.col("r.text")).alias("digest"), F.size("r.edits").cast("long").alias("edits"))
+
+
+@query("can10_invisible_edits", f"SELECT doc_id, sha256(text) AS digest, CAST(greatest(length(text) - 1, 0) AS BIGINT) AS edits FROM documents")
+def _(spark, sf):
+    out = _docs(spark, sf).select("doc_id", K.stage_udf("invisible")(D.zero_width(F.col("text"))).alias("r"))
+    return out.select("doc_id", T.digest(F.col("r.text")).alias("digest"), F.size("r.edits").cast("long").alias("edits"))
+
+
+@query("can12_canonical_text")
+def _(spark, sf):
+    out = _docs(spark, sf).select("doc_id", K.canonical_udf()("text").alias("c"))
+    return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", "c.max_depth_reached")
+
+
+@query("can12_canonical_of_dressed", f"SELECT doc_id, sha256(text) AS digest, false AS ceiling_hit, 1 AS depth FROM documents WHERE length(text) >= 100 AND NOT regexp_matches(text, '[A-Za-z0-9+/=]{{24}}|[0-9A-Fa-f]{{16}}')")
+def _(spark, sf):
+    rows = _docs(spark, sf).where((F.length("text") >= 100) & ~F.col("text").rlike("[A-Za-z0-9+/=]{24}|[0-9A-Fa-f]{16}"))
+    out = rows.select("doc_id", K.canonical_udf()(D.to_base64(F.col("text"))).alias("c"))
+    return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
+
+
+@query("can12_ceiling", "SELECT doc_id, true AS ceiling_hit, 3 AS depth FROM documents WHERE length(text) >= 100")
+def _(spark, sf):
+    out = _docs(spark, sf).where(F.length("text") >= 100).select("doc_id", K.canonical_udf()(D.dress(F.col("text"), ("base64",) * 4)).alias("c"))
+    return out.select("doc_id", "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
+
+
+@query("can12_trace_edits")
+def _(spark, sf):
+    out = _docs(spark, sf).select("doc_id", K.traced_udf()("text").alias("c"))
+    return out.select("doc_id", F.explode("c.edits").alias("e")).select("doc_id", "e.stage", "e.start", "e.end", "e.depth", T.excerpt(F.col("e.before")).alias("before"), T.excerpt(F.col("e.after")).alias("after"))
+
+
+@query("can13_replay", "SELECT doc_id, true AS same FROM documents")
+def _(spark, sf):
+    """The invisible stage's edits, replayed by the JVM over the dressed text, give the stage's text."""
+    out = _docs(spark, sf).select("doc_id", D.zero_width(F.col("text")).alias("t")).withColumn("r", K.stage_udf("invisible")("t"))
+    return out.select("doc_id", (T.replayed(F.col("t"), F.col("r.edits")) == F.col("r.text")).alias("same"))
+
+
+@query("can14_trace_labels", "SELECT unnest(['invisible', 'confusables', 'nfkc', 'decode', 'decode-ceiling']) AS stage, unnest([0, 1, 2, 3, 4]) AS place")
+def _(spark, sf):
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, V.TRACE_LABELS))).alias("place", "stage"))
+
+
+# --- encodings and chains --------------------------------------------------------------------------
+
+for _name in (*D.DRESSINGS, *D.HELD_OUT_DRESSINGS):
+    @query(f"drs_{_name}", f"SELECT doc_id, sha256({Q.dress('text', (_name,))}) AS digest FROM documents")
+    def _(spark, sf, link=_name):
+        return _docs(spark, sf).select("doc_id", T.digest(D.dress(F.col("text"), (link,))).alias("digest"))
+
+
+@query("drs08_chains_join02_render", f"WITH {Q.ITEMS} SELECT item_id, payload_id, source, family, benign_class, label, chain, sha256(text) AS digest FROM items")
+def _(spark, sf):
+    return _items(spark, sf).withColumn("digest", T.digest(F.col("text"))).drop("text")
+
+
+@query("drs10_payload_id", "SELECT doc_id, left(sha256(text), 16) AS payload_id, sha256(text) AS digest FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.payload_id(F.col("text")).alias("payload_id"), T.digest(F.col("text")).alias("digest"))
+
+
+@query("drs11_item_ids", f"WITH {Q.ITEMS} SELECT item_id, payload_id, chain, CAST(len(list_filter(string_split(chain, '+'), lambda x: x IN ('base64', 'hex'))) AS INTEGER) AS depth FROM items")
+def _(spark, sf):
+    parsed = _items(spark, sf).select("item_id", D.parse_item_id(F.col("item_id")).alias("p"))
+    return parsed.select("item_id", "p.payload_id", "p.chain", D.encoding_depth(D.parse_chain(F.col("p.chain"))).alias("depth"))
+
+
+def _chain_rows() -> str:
+    rows = [(D.chain_name(c), "held_out" if c in V.HELD_OUT_CHAINS else "bound", sum(x in V.DECODED_LINKS for x in c), V.PROBES.get(c[0]) if len(c) == 1 and c in V.HELD_OUT_CHAINS else None) for c in V.CHAINS]
+    return ", ".join(f"('{a}', '{b}', {d}, {'NULL' if p is None else repr(p)})" for a, b, d, p in rows)
+
+
+@query("drs12_drs14_chain_dimension", f"SELECT * FROM (VALUES {_chain_rows()}) t(chain, chain_class, depth, probes)")
+def _(spark, sf):
+    return P.chain_table(spark).drop("links")
+
+
+@query("drs17_declined")
+def _(spark, sf):
+    """Payloads of conversations that the decoder declines, by chain and the first declined link."""
+    rows = I.chat(spark, sf)
+    each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.declined(F.col("text"), c).alias("link")) for c in V.BOUND_CHAINS])
+    return rows.select(T.payload_id(F.col("text")).alias("payload_id"), F.explode(each).alias("d")).where("d.link IS NOT NULL").select("payload_id", "d.chain", "d.link")
+
+
+@query("drs18_round_trip", f"WITH p AS (SELECT DISTINCT text FROM conversations WHERE role = 'user' AND length(text) >= 60), c(chain) AS (VALUES {', '.join(f'({Q.text(D.chain_name(c))})' for c in V.BOUND_CHAINS)}) SELECT chain, count(*) AS n, CAST(0 AS BIGINT) AS differ FROM p, c GROUP BY chain")
+def _(spark, sf):
+    """At a ceiling of 12, canonicalizing a dressed payload gives the canonical payload."""
+    udf = K.canonical_udf(12)
+    rows = I.chat(spark, sf).where(F.length("text") >= 60).select(udf("text")["text"].alias("plain"), "text")
+    each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.dress(F.col("text"), c).alias("dressed")) for c in V.BOUND_CHAINS])
+    out = rows.select("plain", F.explode(each).alias("d")).select("plain", "d.chain", udf("d.dressed")["text"].alias("again"))
+    return out.groupBy("chain").agg(F.count("*").alias("n"), F.count_if(F.col("plain") != F.col("again")).alias("differ"))
+
+
+# --- normal forms, tokens, verifiers ---------------------------------------------------------------
+
+@query("txt01_normalize", f"SELECT doc_id, sha256({Q.norm('text')}) AS digest FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.digest(T.normalized("text")).alias("digest"))
+
+
+@query("txt02_normalized_texts", f"SELECT DISTINCT sha256({Q.norm('text')}) AS digest FROM documents WHERE {Q.norm('text')} <> ''")
+def _(spark, sf):
+    return _docs(spark, sf).select(T.normalized("text").alias("norm")).where("norm <> ''").distinct().select(T.digest(F.col("norm")).alias("digest"))
+
+
+@query("txt03_shingles", f"""WITH w AS (SELECT doc_id, list_filter(string_split({Q.norm('text')}, ' '), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS tokens, CAST(CASE WHEN len(w) >= 5 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) ELSE 0 END AS BIGINT) AS shingles FROM w""")
+def _(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.normalized("text").alias("norm")).select("doc_id", T.tokens(F.col("norm")).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("tokens"), F.size(T.shingles(F.col("w"))).cast("long").alias("shingles"))
+
+
+_VERIFIED = [
+    ("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln", "x"),
+    ("eyJhbGciOiJIUzI1NiJ9.bm90anNvbg.c2ln", "x"),
+    ("data:text/plain;base64,SGVsbG8=", "x"),
+    ("data:text/plain;base64,SGVsbG8", "x"),
+    ("ssh-rsa AAAAB3NzaC1yc2EAAAADAQAB me@host", "x"),
+    ("ssh-dss AAAAB3NzaC1yc2EAAAADAQAB me@host", "x"),
+    ("sha256 2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881", "x"),
+    ("nothing encoded here", "x"),
+]
+
+
+@query("txt07_txt10_verifiers", "SELECT * FROM (VALUES (0, true, false, false, false), (1, false, false, false, false), (2, false, false, true, false), (3, false, false, false, false), (4, false, false, false, true), (5, false, false, false, false), (6, false, true, false, false), (7, false, false, false, false)) t(k, jwt, content_hash, data_uri, ssh_public_key)")
+def _(spark, sf):
+    rows = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(s).alias("source")) for t, s in _VERIFIED])
+    df = spark.range(1).select(F.posexplode(rows).alias("k", "m")).select("k", "m.*")
+    text = F.col("text")
+    return df.select("k", T.is_jwt(text).alias("jwt"), T.carries_hash(text, F.col("source")).alias("content_hash"), T.is_data_uri(text).alias("data_uri"), T.is_ssh_key(text).alias("ssh_public_key"))
+
+
+@query("txt12_repository_identity", "SELECT doc_id, source AS repository, lang AS revision, 'dir/' || CAST(doc_id AS VARCHAR) || '.py' AS path FROM documents")
+def _(spark, sf):
+    name = F.concat(F.lit("github.com/"), "source", F.lit("@"), "lang", F.lit(":dir/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return _docs(spark, sf).select("doc_id", T.repository_identity(name).alias("r")).select("doc_id", "r.*")
+
+
+# --- gates, overlaps, draws ------------------------------------------------------------------------
+
+_GONE = "gone AS (SELECT sha256(text) AS digest FROM benchmark UNION SELECT sha256(text) FROM pool WHERE index % 10 = 0)"
+
+
+def _withdrawals(spark, sf):
+    listed = I.table(spark, sf, "benchmark").select(T.digest(F.col("text")).alias("digest"))
+    return listed.union(I.pool(spark, sf).where("index % 10 = 0").select(T.digest(F.col("text")))).distinct()
+
+
+@query("flt01_withdraw", f"WITH {Q.POOL}, {_GONE} SELECT split, index, label FROM pool WHERE sha256(text) NOT IN (SELECT digest FROM gone)")
+def _(spark, sf):
+    return P.withdraw(I.pool(spark, sf), _withdrawals(spark, sf)).select("split", "index", "label")
+
+
+@query("flt01_withdrawal_problems", f"""WITH {Q.POOL}, declared AS (SELECT sha256(text) AS digest, split, index, label FROM pool WHERE index % 10 = 0),
+there AS (SELECT sha256(text) AS digest, split, index, label FROM pool WHERE sha256(text) IN (SELECT digest FROM declared))
+SELECT *, 'undeclared' AS problem FROM (SELECT * FROM there EXCEPT SELECT * FROM declared) UNION ALL SELECT *, 'missing' FROM (SELECT * FROM declared EXCEPT SELECT * FROM there)""")
+def _(spark, sf):
+    rows = I.pool(spark, sf)
+    return P.withdrawal_problems(rows, rows.where("index % 10 = 0").select(T.digest(F.col("text")).alias("digest"), "split", "index", "label"))
+
+
+@query("flt02_unwithdrawn", f"WITH {Q.POOL}, {_GONE} SELECT index FROM pool WHERE sha256(text) IN (SELECT digest FROM gone)")
+def _(spark, sf):
+    rows = I.pool(spark, sf).withColumn("digest", T.digest(F.col("text")))
+    return rows.join(_withdrawals(spark, sf), "digest", "left_semi").select("index")
+
+
+@query("flt03_contradictions", f"WITH {Q.POOL} SELECT sha256(text) AS digest, count(DISTINCT label) AS labels, count(*) AS rows FROM pool WHERE text <> '' GROUP BY text HAVING count(DISTINCT label) > 1")
+def _(spark, sf):
+    return P.contradictions(I.pool(spark, sf)).select(T.digest(F.col("text")).alias("digest"), "labels", "rows")
+
+
+@query("flt04_split_difference", f"WITH {Q.POOL} SELECT 'xx' AS split, 'declared' AS side UNION ALL SELECT DISTINCT split, 'observed' FROM pool WHERE split NOT IN ('en', 'fr', 'xx')")
+def _(spark, sf):
+    declared = spark.range(1).select(F.explode(F.array(*map(F.lit, ("en", "fr", "xx")))).alias("split"))
+    return P.difference(declared, I.pool(spark, sf), "split")
+
+
+@query("flt05_selection_overlap", f"WITH {Q.POOL} SELECT sha256(text) AS digest FROM (SELECT text FROM pool WHERE label = 1 INTERSECT SELECT text FROM pool WHERE label = 0)")
+def _(spark, sf):
+    rows = I.pool(spark, sf)
+    return P.overlap(rows.where("label = 1"), rows.where("label = 0")).select(T.digest(F.col("text")).alias("digest"))
+
+
+_EXCLUDE = f"""src AS (SELECT 'documents/' || source AS source, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'benchmark', text FROM benchmark),
+idx AS (SELECT {Q.norm('text')} AS norm, list_sort(list(DISTINCT source)) AS sources FROM src WHERE {Q.norm('text')} <> '' GROUP BY 1)"""
+
+
+def _exclusion(spark, sf):
+    """Unlabelled documents and the benchmark, which labelled ones must not repeat."""
+    other = _docs(spark, sf).join(I.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return other.select(F.concat(F.lit("documents/"), "source").alias("source"), "text").union(I.table(spark, sf, "benchmark").select(F.lit("benchmark"), "text"))
+
+
+@query("flt06_exclusion_index", f"WITH {_EXCLUDE} SELECT sha256(norm) AS digest, array_to_string(sources, ',') AS sources FROM idx")
+def _(spark, sf):
+    return P.exclusion_index(_exclusion(spark, sf)).select(T.digest(F.col("norm")).alias("digest"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("flt06_removed", f"WITH {Q.POOL}, {_EXCLUDE} SELECT index, array_to_string(sources, ',') AS sources FROM pool JOIN idx ON norm = {Q.norm('text')}")
+def _(spark, sf):
+    return P.excluded(I.pool(spark, sf), P.exclusion_index(_exclusion(spark, sf))).select("index", F.array_join("sources", ",").alias("sources"))
+
+
+@query("flt06_remaining", f"WITH {Q.POOL}, {_EXCLUDE} SELECT index FROM pool WHERE {Q.norm('text')} NOT IN (SELECT norm FROM idx)")
+def _(spark, sf):
+    return P.remaining(I.pool(spark, sf), P.exclusion_index(_exclusion(spark, sf))).select("index")
+
+
+_COUNTED = f"cnt AS (SELECT source, count(*) AS matched FROM (SELECT unnest(sources) AS source FROM pool JOIN idx ON norm = {Q.norm('text')}) GROUP BY 1)"
+
+
+@query("flt06_counts", f"WITH {Q.POOL}, {_EXCLUDE}, {_COUNTED} SELECT * FROM cnt")
+def _(spark, sf):
+    return P.exclusion_counts(P.excluded(I.pool(spark, sf), P.exclusion_index(_exclusion(spark, sf))))
+
+
+@query("flt07_join10_outcomes", f"""WITH {Q.POOL}, {_EXCLUDE}, {_COUNTED}, planned AS (SELECT DISTINCT source, true AS required FROM src UNION ALL VALUES ('gone', false), ('lost', true)),
+loaded AS (SELECT source, count(*) AS rows FROM src GROUP BY 1)
+SELECT source, required, CASE WHEN l.rows IS NOT NULL THEN 'loaded' WHEN required THEN 'missing' ELSE 'unavailable' END AS state, coalesce(l.rows, 0) AS rows, coalesce(matched, 0) AS matched
+FROM planned LEFT JOIN loaded l USING (source) LEFT JOIN cnt USING (source)""")
+def _(spark, sf):
+    sources = _exclusion(spark, sf)
+    more = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(r).alias("required")) for s, r in (("gone", False), ("lost", True))])
+    planned = sources.select("source", F.lit(True).alias("required")).distinct().union(spark.range(1).select(F.explode(more).alias("m")).select("m.*"))
+    counts = P.exclusion_counts(P.excluded(I.pool(spark, sf), P.exclusion_index(sources)))
+    return P.exclusion_outcomes(planned, sources.groupBy("source").agg(F.count("*").alias("rows")), counts)
+
+
+@query("flt08_flt09_eligible", "SELECT doc_id || '.' || lang AS path FROM documents WHERE lang IN ('en', 'de') AND octet_length(encode(text)) BETWEEN 100 AND 40000 AND regexp_matches(text, '[A-Za-z0-9+/=]{24}|[0-9A-Fa-f]{16}')")
+def _(spark, sf):
+    files = _docs(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"), "text")
+    return P.eligible(files, (".en", ".de"), 100, 40000).select("path")
+
+
+@query("agg16_first_wins", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1")
+def _(spark, sf):
+    return P.first_of_each(_docs(spark, sf), "text", "source", "doc_id").select("doc_id")
+
+
+@query("agg17_counts", f"WITH {Q.POOL} SELECT split, source, label, count(*) AS rows FROM pool GROUP BY ALL")
+def _(spark, sf):
+    return I.pool(spark, sf).groupBy("split", "source", "label").agg(F.count("*").alias("rows"))
+
+
+@query("agg18_frame_gates", f"WITH {Q.POOL}, by AS (SELECT source, count(*) AS n FROM pool GROUP BY 1) SELECT count(*) AS repositories, CAST(sum(n) AS BIGINT) AS rows, max(n) AS most, count(*) >= 2 AS enough FROM by")
+def _(spark, sf):
+    by = I.pool(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
+    return by.agg(F.count("*").alias("repositories"), F.sum("n").alias("rows"), F.max("n").alias("most"), (F.count("*") >= 2).alias("enough"))
+
+
+@query("agg20_draw_report", f"""WITH {Q.POOL}, {_EXCLUDE}, clean AS (SELECT * FROM pool WHERE text NOT IN (SELECT text FROM pool WHERE text <> '' GROUP BY text HAVING count(DISTINCT label) > 1)),
+kept AS (SELECT * FROM clean WHERE {Q.norm('text')} NOT IN (SELECT norm FROM idx))
+SELECT 0 AS step, 'pool' AS gate, count(*) AS rows FROM pool UNION ALL SELECT 1, 'contradictions', count(*) FROM clean UNION ALL SELECT 2, 'overlap', count(*) FROM kept UNION ALL SELECT 3, 'positives', count(*) FROM kept WHERE label = 1""")
+def _(spark, sf):
+    rows = I.pool(spark, sf)
+    clean = P.without_contradictions(rows)
+    kept = P.remaining(clean, P.exclusion_index(_exclusion(spark, sf)))
+    return P.tally([("pool", rows), ("contradictions", clean), ("overlap", kept), ("positives", kept.where("label = 1"))])
+
+
+@query("srt01_draw_head", "SELECT sha256(text) AS digest FROM (SELECT DISTINCT text FROM documents ORDER BY left(sha256(text), 16) LIMIT 50)")
+def _(spark, sf):
+    return P.draw_head(_docs(spark, sf), 50, "payload_id").select(T.digest(F.col("text")).alias("digest"))
+
+
+@query("srt02_draw_seeded", "SELECT sha256(text) AS digest FROM (SELECT DISTINCT text FROM documents ORDER BY sha256('11:' || text), text LIMIT 50)")
+def _(spark, sf):
+    return P.draw_seeded(_docs(spark, sf), 50, 11).select(T.digest(F.col("text")).alias("digest"))
+
+
+@query("srt03_draw_per_group", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('11:' || source || ':' || text), text) AS k FROM (SELECT min(doc_id) AS doc_id, source, text FROM documents GROUP BY source, text)) WHERE k <= 5")
+def _(spark, sf):
+    rows = _docs(spark, sf).groupBy("source", "text").agg(F.min("doc_id").alias("doc_id"))
+    return P.draw_per_group(rows, "source", 5, 11).select("doc_id", "source")
+
+
+@query("srt04_select_payloads", f"WITH {Q.POOL}, {_EXCLUDE} SELECT DISTINCT left(sha256(text), 16) AS payload_id FROM pool WHERE label = 1 AND text <> '' AND text NOT IN (SELECT text FROM pool GROUP BY text HAVING count(DISTINCT label) > 1) AND {Q.norm('text')} NOT IN (SELECT norm FROM idx)")
+def _(spark, sf):
+    rows = P.without_contradictions(I.pool(spark, sf)).where("label = 1 AND text <> ''")
+    return P.remaining(rows, P.exclusion_index(_exclusion(spark, sf))).select(T.payload_id(F.col("text")).alias("payload_id")).distinct()
+
+
+_JOIN08 = f"""n AS (SELECT doc_id AS id, {Q.norm('text')} AS norm, list_filter(string_split({Q.norm('text')}, ' '), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT item_id AS payload_id, {Q.norm('text')} AS norm, list_filter(string_split({Q.norm('text')}, ' '), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM n WHERE len(w) >= 5),
+ps AS (SELECT payload_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM p WHERE len(w) >= 5),
+need AS (SELECT payload_id, count(*) AS need FROM ps GROUP BY 1),
+near AS (SELECT id, payload_id, count(*) / CAST(max(need) AS DOUBLE) AS score FROM ds JOIN ps USING (s) JOIN need USING (payload_id) GROUP BY id, payload_id HAVING count(*) / CAST(max(need) AS DOUBLE) >= 0.85)
+"""
+
+
+@query("join08_crosscheck", f"WITH {_JOIN08} SELECT id, payload_id, round(score, 9) + 0.0 AS score, CASE WHEN score = 1 AND contains(' ' || n.norm || ' ', ' ' || p.norm || ' ') THEN 'contains' ELSE 'shingles' END AS kind FROM near JOIN n USING (id) JOIN p USING (payload_id)")
+def _(spark, sf):
+    sources = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return P.similar(sources, I.table(spark, sf, "benchmark").select(F.col("item_id").alias("payload_id"), "text"))
+
+
+@query("gat01_cross_check_report", f"WITH {_JOIN08} SELECT count(*) AS collisions, count(DISTINCT id) AS sources, count(DISTINCT payload_id) AS payloads FROM near")
+def _(spark, sf):
+    sources = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    found = P.similar(sources, I.table(spark, sf, "benchmark").select(F.col("item_id").alias("payload_id"), "text"))
+    return found.agg(F.count("*").alias("collisions"), F.countDistinct("id").alias("sources"), F.countDistinct("payload_id").alias("payloads"))
+
+
+@query("join21_id_collisions", f"WITH {Q.ITEMS} SELECT item_id, count(DISTINCT text) AS texts FROM items GROUP BY 1 HAVING count(DISTINCT text) > 1")
+def _(spark, sf):
+    return P.id_collisions(_items(spark, sf))
+
+
+@query("src06_every_string", "SELECT sha256(t) AS digest FROM (SELECT text AS t FROM documents UNION ALL SELECT lang FROM documents UNION ALL SELECT source FROM documents)")
+def _(spark, sf):
+    return I.strings_of(_docs(spark, sf)).select(T.digest(F.col("text")).alias("digest"))
+
+
+@query("src09_benign_rows", f"WITH {Q.POOL} SELECT DISTINCT sha256(text) AS digest FROM pool WHERE label <> 1 AND text <> ''")
+def _(spark, sf):
+    return I.pool(spark, sf).where("label <> 1 AND text <> ''").select("text").distinct().select(T.digest(F.col("text")).alias("digest"))
+
+
+@query("set_ops", f"WITH {Q.POOL} SELECT 'union' AS op, count(*) AS n FROM (SELECT text FROM pool UNION SELECT text FROM documents) UNION ALL SELECT 'except', count(*) FROM (SELECT text FROM documents EXCEPT SELECT text FROM pool) UNION ALL SELECT 'intersect', count(*) FROM (SELECT text FROM documents INTERSECT SELECT text FROM pool)")
+def _(spark, sf):
+    a, b = _docs(spark, sf).select("text"), I.pool(spark, sf).select("text")
+    return P.tally([("union", a.union(b).distinct()), ("except", a.subtract(b)), ("intersect", a.intersect(b))]).select(F.col("gate").alias("op"), F.col("rows").alias("n"))
+
+
+# --- scoring and merging ---------------------------------------------------------------------------
+
+_SCORE_COLUMNS = "item_id, family, benign_class, label, baseline_key, condition, round(p_injection, 9) + 0.0 AS p_injection, n_windows, max_depth_reached, ceiling_hit"
+
+
+@query("join01_demanded", f"WITH {Q.ITEMS}, {Q._BASE} SELECT item_id, baseline_key, condition FROM items, baselines, (VALUES ('raw'), ('canonical')) c(condition)")
+def _(spark, sf):
+    return M.demanded(_items(spark, sf), M.baseline_table(spark))
+
+
+@query("mdl07_scores", f"WITH {Q.SCORES} SELECT {_SCORE_COLUMNS} FROM scores")
+def _(spark, sf):
+    return _scores(spark, sf)
+
+
+@query("snk05_src02_scores_file", f"WITH {Q.SCORES} SELECT {_SCORE_COLUMNS} FROM scores")
+def _(spark, sf):
+    """Scores written as JSON lines in a total order, and read back strictly."""
+    path = f"{_shared(spark)}/scores"
+    W.write_json_lines(_scores(spark, sf), path, *M.KEY)
+    return W.read_scores(spark, path)
+
+
+_SHARD = "CAST(CAST('0x' || left(sha256('[\"' || item_id || '\",\"' || baseline_key || '\",\"' || condition || '\"]'), 8) AS BIGINT) % 7 AS INTEGER)"
+
+
+@query("srt06_shards", f"WITH {Q.SCORES} SELECT {_SHARD} AS shard, count(*) AS keys FROM scores GROUP BY 1")
+def _(spark, sf):
+    return M.demanded(_items(spark, sf), M.baseline_table(spark)).groupBy(M.shard_of(7).alias("shard")).agg(F.count("*").alias("keys"))
+
+
+def _carried(spark, sf):
+    """Score rows as shards might bring them back: shard 6 has lost its raw rows, shard 0 sends some twice."""
+    rows = _scores(spark, sf).withColumn("shard", M.shard_of(7)).where("NOT (shard = 6 AND condition = 'raw')")
+    return rows.union(rows.where("shard = 0 AND baseline_key = 'digest-a'"))
+
+
+@query("join13_coverage", f"""WITH {Q.SCORES}, s AS (SELECT *, {_SHARD} AS shard FROM scores)
+SELECT item_id, baseline_key, condition, 'missing' AS problem FROM s WHERE shard = 6 AND condition = 'raw' UNION ALL SELECT item_id, baseline_key, condition, 'duplicated' FROM s WHERE shard = 0 AND baseline_key = 'digest-a'""")
+def _(spark, sf):
+    return M.coverage_problems(M.demanded(_items(spark, sf), M.baseline_table(spark)), _carried(spark, sf), 7)
+
+
+@query("join14_agreement", f"WITH {Q.SCORES} SELECT item_id, baseline_key, condition, CAST(2 AS BIGINT) AS records FROM scores WHERE {_SHARD} = 0 AND baseline_key = 'digest-a'")
+def _(spark, sf):
+    rows = _carried(spark, sf)
+    again = rows.where("shard = 0 AND baseline_key = 'digest-a'").withColumn("n_windows", F.col("n_windows") + 1)
+    return M.agreement_problems(rows.union(again))
+
+
+@query("run_resume_owed", f"WITH {Q.SCORES} SELECT item_id, baseline_key, condition FROM scores WHERE {_SHARD} = 6 AND condition = 'raw'")
+def _(spark, sf):
+    return M.owed(M.demanded(_items(spark, sf), M.baseline_table(spark)), _carried(spark, sf))
+
+
+@query("join15_paths", "SELECT * FROM (VALUES ('digest-b', 'cpu,gpu', CAST('cpu' AS VARCHAR)), ('digest-c', 'cpu', NULL)) t(baseline_key, paths, declared)")
+def _(spark, sf):
+    rows = lambda pairs: spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("baseline_key"), F.lit(b).alias("path")) for a, b in pairs])).alias("r")).select("r.*")
+    found = M.path_problems(rows([("digest-a", "cpu"), ("digest-b", "cpu"), ("digest-b", "gpu"), ("digest-c", "cpu")]), rows([("digest-a", "cpu"), ("digest-b", "cpu")]))
+    return found.select("baseline_key", F.array_join("paths", ",").alias("paths"), "declared")
+
+
+@query("dim03_smoke_sample", f"WITH {Q.ITEMS} SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY family, benign_class, chain ORDER BY item_id) AS k FROM items) WHERE k <= 3")
+def _(spark, sf):
+    return M.smoke_sample(_items(spark, sf), 3).select("item_id")
+
+
+@query("mdl01_softmax", "SELECT doc_id, round(1 / (1 + exp(b - a)), 9) + 0.0 AS p FROM (SELECT doc_id, length(text) / 1000.0 AS a, n_chars % 7 AS b FROM documents)")
+def _(spark, sf):
+    logits = F.array((F.length("text") / 1000.0).cast("double"), (F.col("n_chars") % 7).cast("double"))
+    return _docs(spark, sf).select("doc_id", S.softmax(logits)[0].alias("p"))
+
+
+@query("mdl03_windows", "WITH w AS (SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents) SELECT doc_id, tokens, CAST(greatest(ceil(tokens / 50.0), 1) AS BIGINT) AS windows, CASE WHEN tokens = 0 THEN 0 ELSE (tokens - 1) % 50 + 1 END AS last FROM w")
+def _(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("w")).withColumn("s", S.windows(F.col("w"), 50))
+    return rows.select("doc_id", F.size("w").cast("long").alias("tokens"), F.size("s").cast("long").alias("windows"), F.size(F.element_at("s", -1)).cast("long").alias("last"))
+
+
+@query("mdl04_reduce_windows", f"""WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(0, CAST(greatest(ceil(len(w) / 50.0), 1) AS BIGINT)), lambda i: array_to_string(w[i * 50 + 1:i * 50 + 50], ' '))) AS s FROM w)
+SELECT CAST(doc_id AS VARCHAR) AS item_id, round(max({Q.digest_score("'digest-a'", 's')}), 9) + 0.0 AS p_injection, count(*) AS n_windows FROM s GROUP BY 1""")
+def _(spark, sf):
+    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("item_id"), F.explode(S.windows(T.tokens(F.col("text")), 50)).alias("s"))
+    return M.reduce_windows(rows.select("item_id", M.digest_score(F.lit("digest-a"), F.array_join("s", " ")).alias("p")))
+
+
+@query("mdl08_classify", f"WITH {Q.KEYED} SELECT item_id, baseline_key, canon_on, detected FROM kd")
+def _(spark, sf):
+    return _keyed(spark, sf).select("item_id", "baseline_key", "canon_on", "detected")
+
+
+# --- cells -----------------------------------------------------------------------------------------
+
+@query("agg02_agg03_rates", Q.cells_of("rate"))
+def _rates(spark, sf):
+    return C.rate_cells(_keyed(spark, sf))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["agg02_agg03_rates"](spark, sf_dir)
+
+
+@query("agg04_agg05_census", Q.cells_of("census"))
+def _(spark, sf):
+    return C.census_cells(_keyed(spark, sf))
+
+
+@query("agg04_census_problems", f"WITH {Q.KEYED} SELECT item_id, baseline_key, canon_on FROM kd WHERE canon_on = (ceiling_hit IS NULL)")
+def _(spark, sf):
+    return C.census_problems(_keyed(spark, sf))
+
+
+@query("agg06_edit_census")
+def _(spark, sf):
+    items = _cut(_items(spark, sf), "items")
+    traces = items.select("item_id", F.array_distinct(F.transform(K.traced_udf()("text")["edits"], lambda e: e["stage"])).alias("stages"))
+    return C.edit_census_cells(C.keyed(M.score_items(items, M.baseline_table(spark)), M.baseline_table(spark)), traces)
+
+
+@query("agg07_join06_auc", Q.cells_of("auc"))
+def _(spark, sf):
+    return C.auc_cells(_keyed(spark, sf))
+
+
+@query("agg08_join07_auc_delta", Q.cells_of("auc_delta"))
+def _(spark, sf):
+    return C.auc_delta_cells(_cut(_keyed(spark, sf), "keyed"))
+
+
+@query("agg13_join03_canon_delta", Q.cells_of("canon"))
+def _(spark, sf):
+    return C.canon_delta_cells(_keyed(spark, sf))
+
+
+@query("join03_unpaired", f"WITH {Q.KEYED} SELECT item_id, baseline_key FROM kd GROUP BY ALL HAVING count(*) <> 2")
+def _(spark, sf):
+    return C.unpaired_items(_keyed(spark, sf)).select("item_id", "baseline_key")
+
+
+@query("join04_windows_matched", Q.cells_of("single"))
+def _(spark, sf):
+    return C.canon_delta_cells(_keyed(spark, sf), single_window=True)
+
+
+@query("join05_chain_delta", Q.cells_of("chain"))
+def _(spark, sf):
+    return C.chain_delta_cells(_cut(_keyed(spark, sf), "keyed"))
+
+
+@query("agg21_cells", f"WITH {Q.CELLS} {Q.rounded('SELECT * FROM cells')}")
+def _(spark, sf):
+    return C.ordered(_cells(spark, sf))
+
+
+@query("agg12_pooling", f"WITH {Q.CELLS} SELECT kind, {Q.AXES}, contrast FROM cells WHERE (family = 'benign' AND benign_class IS NULL) OR (chain_class IS NULL AND NOT coalesce(starts_with(contrast, 'clean_vs_'), false))")
+def _(spark, sf):
+    return C.pooling_problems(_cells(spark, sf))
+
+
+@query("join19_completeness", f"WITH {Q.CELLS} SELECT CAST('x' AS VARCHAR) AS baseline_key, CAST('x' AS VARCHAR) AS chain, CAST('x' AS VARCHAR) AS family, CAST('x' AS VARCHAR) AS benign_class, true AS canon_on WHERE false")
+def _(spark, sf):
+    return C.completeness_problems(_cells(spark, sf), M.baseline_table(spark), P.chain_table(spark))
+
+
+_TABLES = [(40, 10, 2, 48), (30, 0, 0, 70), (0, 12, 3, 0), (5, 7, 9, 11), (1, 0, 0, 1)]
+
+
+def _fourfold(spark):
+    rows = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip("abcd", t, strict=True)]) for t in _TABLES])
+    return spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
+
+
+_VALUES = "(SELECT * FROM (VALUES " + ", ".join(map(str, _TABLES)) + ") t(a, b, c, d))"
+_WILSON = Q.wilson("k", "n")
+
+
+@query("agg09_wilson", f"SELECT k, n, round({_WILSON[0]}, 9) + 0.0 AS lo, round({_WILSON[1]}, 9) + 0.0 AS hi FROM (SELECT CAST(quality AS BIGINT) AS q, count(*) FILTER (toxic = 1) AS k, count(*) AS n FROM labels GROUP BY quality)")
+def _(spark, sf):
+    by = I.table(spark, sf, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 1).alias("k"), F.count("*").alias("n"))
+    lo, hi = S.wilson(F.col("k"), F.col("n"))
+    return by.select("k", "n", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("agg10_newcombe", f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d, round(value, 9) + 0.0 AS theta, round(lo, 9) + 0.0 AS lo, round(hi, 9) + 0.0 AS hi FROM ({Q.newcombe(_VALUES, 'a, b, c, d')})")
+def _(spark, sf):
+    theta, lo, hi = S.newcombe(*map(F.col, "abcd"))
+    return _fourfold(spark).select("a", "b", "c", "d", theta.alias("theta"), lo.alias("lo"), hi.alias("hi"))
+
+
+_SIDES = [*Q.wilson("(a + b)", "(a + b + c + d)"), *Q.wilson("(a + c)", "(a + b + c + d)")]
+
+
+@query("agg11_unpaired", f"""WITH t AS (SELECT *, CAST(a + b + c + d AS DOUBLE) AS n, {_SIDES[0]} AS l1, {_SIDES[1]} AS u1, {_SIDES[2]} AS l2, {_SIDES[3]} AS u2 FROM {_VALUES})
+SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round((b - c) / n - sqrt(((a + b) / n - l1) ** 2 + (u2 - (a + c) / n) ** 2), 9) + 0.0 AS lo, round((b - c) / n + sqrt((u1 - (a + b) / n) ** 2 + ((a + c) / n - l2) ** 2), 9) + 0.0 AS hi FROM t""")
+def _(spark, sf):
+    lo, hi = S.unpaired(*map(F.col, "abcd"))
+    return _fourfold(spark).select("a", "b", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("agg11_mover_and_closed_form", "SELECT round(0.1 - 0.3, 9) + 0.0 AS difference, round(-0.2 - sqrt(0.05 ** 2 + 0.1 ** 2), 9) + 0.0 AS lo, round(-0.2 + sqrt(0.1 ** 2 + 0.2 ** 2), 9) + 0.0 AS hi, round((0.8 * 0.2 + 9 * (0.8 / 1.2 - 0.64) + 19 * (2 * 0.64 / 1.8 - 0.64)) / 200, 9) + 0.0 AS variance")
+def _(spark, sf):
+    difference, lo, hi = S.mover(*[F.lit(x) for x in (0.1, 0.05, 0.2, 0.3, 0.1, 0.4)])
+    return spark.range(1).select(difference.alias("difference"), lo.alias("lo"), hi.alias("hi"), S.hanley_mcneil(F.lit(0.8), F.lit(10), F.lit(20)).alias("variance"))
+
+
+@query("agg14_nearest_rank", "SELECT event_type, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, count(*) AS n FROM (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS v FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def _(spark, sf):
+    """Nearest-rank percentiles in whole numbers, from the counts of distinct values."""
+    from pyspark.sql import Window
+
+    rows = I.table(spark, sf, "events").where("value IS NOT NULL").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("v"))
+    by = rows.groupBy("event_type", "v").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("event_type")
+    by = by.withColumn("upto", F.sum("c").over(whole.orderBy("v"))).withColumn("n", F.sum("c").over(whole))
+    at = lambda num, den: F.min(F.when(F.col("upto") >= S.nearest_rank(num, den, F.col("n")), F.col("v")))
+    return by.groupBy("event_type").agg(at(1, 2).alias("p50"), at(19, 20).alias("p95"), F.max("n").alias("n"))
+
+
+@query("dim01_corpus_class", f"WITH {Q.ITEMS} SELECT coalesce(benign_class, 'attacks') AS corpus_class, chain, count(*) AS items FROM items GROUP BY ALL")
+def _(spark, sf):
+    return _items(spark, sf).groupBy(F.coalesce("benign_class", F.lit("attacks")).alias("corpus_class"), "chain").agg(F.count("*").alias("items"))
+
+
+@query("spk01_score_quartiles", f"""WITH {Q.SCORES}, q AS (SELECT baseline_key, p_injection AS p, row_number() OVER (PARTITION BY baseline_key ORDER BY p_injection) AS k, count(*) OVER (PARTITION BY baseline_key) AS n FROM scores WHERE family = 'attack' AND chain = 'clean' AND condition = 'raw')
+SELECT baseline_key, max(n) AS n, round(min(p) FILTER (k >= ceil(n * 0.25)), 9) + 0.0 AS q1, round(min(p) FILTER (k >= ceil(n * 0.5)), 9) + 0.0 AS q2, round(min(p) FILTER (k >= ceil(n * 0.75)), 9) + 0.0 AS q3 FROM q GROUP BY 1""")
+def _(spark, sf):
+    rows = _scores(spark, sf).where("family = 'attack' AND condition = 'raw'").where(F.endswith("item_id", F.lit("::clean")))
+    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY p_injection)")
+    return rows.groupBy("baseline_key").agg(F.count("*").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+
+
+# --- findings and verdicts -------------------------------------------------------------------------
+
+_FND = "finding, baseline_key, chain, chain_class, benign_class, canon_on, family, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, round(CAST(lim AS DOUBLE), 9) + 0.0 AS \"limit\""
+_KINDS = {"fnd01_saturation": N.saturation, "fnd02_resolution": N.resolution, "fnd03_rate_pinned": N.rate_pinned, "fnd04_sign_disagreement": N.sign_disagreement, "fnd05_bound_chain": N.bound_chain, "fnd06_windows_matched": N.windows_matched}
+_LONG = {"bound_chain": "bound_chain_definitional", "windows_matched": "windows_matched_divergence"}
+
+for _name, _rule in _KINDS.items():
+    @query(_name, f"WITH {Q.FINDINGS} SELECT {_FND} FROM fnd WHERE finding = '{_LONG.get(_name[6:], _name[6:])}'")
+    def _(spark, sf, rule=_rule):
+        return rule(_cells(spark, sf))
+
+
+@query("fnd07_findings", f"WITH {Q.FINDINGS} SELECT {_FND} FROM fnd")
+def _(spark, sf):
+    return N.findings(_cells(spark, sf))
+
+
+_CANON_N = "canon AS (SELECT * FROM cells WHERE contrast = 'canon_on_vs_off' AND method = 'newcombe-paired-score' AND population = 'all')"
+
+
+@query("vrd_n1", f"""WITH {Q.CELLS}, {_CANON_N}, r AS (SELECT * FROM canon WHERE baseline_key = 'digest-a' AND chain = 'base32' AND family = 'attack'), f AS (SELECT * FROM canon WHERE baseline_key = 'digest-a' AND chain = 'base32' AND benign_class = 'b_code')
+SELECT 'N1' AS condition, CASE WHEN f.value - r.value - sqrt((f.value - f.lo) ** 2 + (r.hi - r.value) ** 2) > 0 THEN 'triggered' ELSE 'not_triggered' END AS outcome FROM r, f""")
+def _(spark, sf):
+    return N.n1(_cells(spark, sf), "digest-a", "base32", "b_code").select("condition", "outcome")
+
+
+@query("vrd_n2", f"""WITH {Q.CELLS}, p AS (SELECT * FROM cells WHERE starts_with(contrast, 'clean_vs_') AND family = 'attack' AND NOT canon_on AND chain_class = 'bound' AND (contains(contrast, 'base64') OR contains(contrast, 'hex')))
+SELECT 'N2' AS condition, CASE WHEN count(*) = 0 THEN 'not_evaluable' WHEN count(*) FILTER (lo > 0) = 0 THEN 'triggered' ELSE 'not_triggered' END AS outcome,
+  '{{"pairs":' || count(*) || ',"degraded":' || count(*) FILTER (lo > 0) || ',"improved":' || count(*) FILTER (hi < 0) || '}}' AS computed FROM p""")
+def _(spark, sf):
+    return N.n2(_cells(spark, sf))
+
+
+@query("vrd_n3", """WITH v AS (SELECT event_type, quantile_disc(CAST(floor(value * 1000) AS BIGINT), 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT 'N3' AS condition, CASE WHEN max(p95) > least(0.10 * min(p95), 1000000) THEN 'triggered' ELSE 'not_triggered' END AS outcome FROM v""")
+def _(spark, sf):
+    """Event values stand in for latencies: the largest p95 against the smallest."""
+    p95 = queries()["agg14_nearest_rank"](spark, sf).select(F.col("event_type").alias("baseline_key"), "p95")
+    return N.n3(p95.agg(F.max("p95").alias("p95")), p95).select("condition", "outcome")
+
+
+@query("vrd_n4", f"""WITH {Q.CELLS}, {_CANON_N}, o AS (SELECT DISTINCT chain FROM cells WHERE census = 'ceiling_hit' AND k > 0),
+g AS (SELECT lo, CASE WHEN chain_class = 'held_out' AND chain = 'rot13' THEN 'excluded' WHEN chain_class = 'held_out' OR chain IN (SELECT chain FROM o) THEN 'general' WHEN contains(chain, 'base64') OR contains(chain, 'hex') THEN 'bound' END AS side FROM canon WHERE family = 'attack'),
+n AS (SELECT count(*) FILTER (side = 'general') AS general, count(*) FILTER (side = 'bound') AS bound, count(*) FILTER (side = 'general' AND lo > 0) AS reached, count(*) FILTER (side = 'bound' AND lo > 0) AS recovers, count(*) FILTER (side = 'excluded') AS excluded FROM g)
+SELECT 'N4' AS condition, CASE WHEN general = 0 OR bound = 0 THEN 'not_evaluable' WHEN reached = 0 AND recovers > 0 THEN 'triggered' ELSE 'not_triggered' END AS outcome,
+  '{{"general":' || general || ',"bound":' || bound || ',"reached":' || reached || ',"recovers":' || recovers || ',"excluded":' || excluded || '}}' AS computed FROM n""")
+def _(spark, sf):
+    return N.n4(_cells(spark, sf))
+
+
+# --- report ----------------------------------------------------------------------------------------
+
+@query("rpt01_recall_table", f"WITH {Q.CELLS} SELECT baseline_key, canon_on, " + ", ".join(f"max(k) FILTER (chain = '{D.chain_name(c)}') AS \"{D.chain_name(c)}\"" for c in V.CHAINS) + " FROM cells WHERE kind = 'rate' AND family = 'attack' GROUP BY 1, 2")
+def _(spark, sf):
+    rates = C.rate_cells(_keyed(spark, sf)).where("family = 'attack'").withColumn("shown", F.col("k"))
+    return R.pivoted(rates, ["baseline_key", "canon_on"], "chain", [D.chain_name(c) for c in V.CHAINS])
+
+
+@query("rpt02_sections", f"WITH {Q.CELLS} SELECT {Q.SECTION} AS section, count(*) AS cells FROM cells GROUP BY 1")
+def _(spark, sf):
+    return R.section(_cells(spark, sf)).groupBy("section").agg(F.count("*").alias("cells"))
+
+
+@query("rpt03_rendered", f"WITH {Q.KEYED}, r AS ({Q.PARTS['rate']}) SELECT {Q.AXES}, k || '/' || n || ' (' || printf('%.2f', value * 100) || '%)' AS shown FROM r")
+def _(spark, sf):
+    return R.shown(C.rate_cells(_keyed(spark, sf))).select(*C.AXES, "shown")
+
+
+@query("rpt04_numbered_findings", f"""WITH {Q.FINDINGS} SELECT finding, baseline_key, chain, benign_class, CAST(row_number() OVER (ORDER BY finding, baseline_key, chain NULLS FIRST, benign_class NULLS FIRST, family NULLS FIRST, canon_on NULLS FIRST) AS INTEGER) AS number,
+CAST(dense_rank() OVER (ORDER BY finding) AS INTEGER) AS "group" FROM fnd""")
+def _(spark, sf):
+    return R.numbered(N.findings(_cells(spark, sf))).select("finding", "baseline_key", "chain", "benign_class", "number", "group")
+
+
+@query("rpt05_headlines", f"""WITH {Q.KEYED}, r AS (SELECT * FROM ({Q.PARTS['rate']}) WHERE family = 'attack' AND canon_on)
+SELECT baseline_key, arg_max(chain, (value, chain)) AS best_chain, round(max(value), 9) + 0.0 AS best, arg_max(chain, (-value, chain)) AS worst_chain, round(min(value), 9) + 0.0 AS worst FROM r GROUP BY 1""")
+def _(spark, sf):
+    return R.headlines(C.rate_cells(_keyed(spark, sf)))
+
+
+@query("rpt05_back_to_clean", f"""WITH {Q.KEYED}, r AS (SELECT * FROM ({Q.PARTS['rate']}) WHERE family = 'attack' AND canon_on)
+SELECT x.baseline_key, count(*) AS chains, count(*) FILTER (x.k = y.k AND x.n = y.n) AS returned FROM r x JOIN r y USING (baseline_key) WHERE x.chain <> 'clean' AND y.chain = 'clean' GROUP BY 1""")
+def _(spark, sf):
+    return R.back_to_clean(C.rate_cells(_keyed(spark, sf)))
+
+
+@query("join20_anchors", f"""WITH {Q.FINDINGS}, f AS (SELECT *, row_number() OVER () AS id FROM fnd)
+SELECT finding, f.baseline_key, f.chain, f.benign_class, f.family, f.canon_on, count(c.kind) AS anchors FROM f LEFT JOIN cells c ON c.kind IN ('rate', 'auc', 'delta') AND f.baseline_key = c.baseline_key
+  AND f.chain IS NOT DISTINCT FROM c.chain AND f.benign_class IS NOT DISTINCT FROM c.benign_class AND f.family IS NOT DISTINCT FROM c.family GROUP BY f.id, finding, f.baseline_key, f.chain, f.benign_class, f.family, f.canon_on""")
+def _(spark, sf):
+    cells = _cells(spark, sf)
+    return R.anchored(N.findings(cells), cells).select("finding", "baseline_key", "chain", "benign_class", "family", "canon_on", "anchors")
+
+
+@query("snk08_join09_credits", f"WITH {Q.ITEMS}, s AS (SELECT source, CASE WHEN source IS NOT NULL THEN 'open' END AS licence FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT 'nowhere', 'open') SELECT source, licence, coalesce(rows, 0) AS rows FROM (SELECT source, count(*) AS rows FROM items GROUP BY 1) FULL JOIN s USING (source)")
+def _(spark, sf):
+    pinned = _docs(spark, sf).select("source").distinct().union(spark.range(1).select(F.lit("nowhere"))).withColumn("licence", F.lit("open"))
+    return R.credits(_items(spark, sf), pinned)
+
 
-def queries():
-    return {}
+# --- streaming -------------------------------------------------------------------------------------
 
+@query("str_canonical_stream")
+def _(spark, sf):
+    """Documents as a stream through the canonicalizer and the classifier, to its end."""
+    from palimpsest.streaming import canon_stream as Z
 
-def oracle_sql():
-    return {}
+    at = _shared(spark)
+    # A stream reads a folder: the table is copied into one, so one large file or many do alike.
+    _docs(spark, sf).select("doc_id", "text").write.parquet(f"{at}/in")
+    stream = Z.canonical_stream(Z.read_text_stream(spark, f"{at}/in", "doc_id long, text string"), "doc_id", "digest-a", 0.5)
+    Z.run_to_end(stream, f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")

@@ -124,14 +124,18 @@ def auc_cells(rows: DataFrame) -> DataFrame:
 
 
 def auc_delta_cells(rows: DataFrame) -> DataFrame:
-    """AGG-08, JOIN-07: canonical minus raw AUC, with the covariance of the two by item."""
+    """AGG-08, JOIN-07: canonical minus raw AUC, paired by item.
+
+    The variance of items' differences is that of both sides less twice their covariance, and is exactly
+    zero where the two conditions agree.
+    """
     part = _components(rows).select(*_AUC_KEY, "p_injection", "v10", "v01", "n_pos", "n_neg")
     item = _sides(rows).select(*_AUC_KEY, "p_injection", "positive", "item_id").join(part, [*_AUC_KEY, "p_injection"])
     item = item.withColumn("v", F.when(F.col("positive") == 1, F.col("v10")).otherwise(F.col("v01")))
     key = [c for c in _AUC_KEY if c != "canon_on"]
     two = item.groupBy(*key, "positive", "item_id").agg(F.max(F.when(F.col("canon_on"), F.col("v"))).alias("on"), F.max(F.when(~F.col("canon_on"), F.col("v"))).alias("off"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     two = two.where("on IS NOT NULL AND off IS NOT NULL")
-    side = two.groupBy(*key, "positive").agg(F.count("*").alias("n"), F.avg("on").alias("on"), F.avg("off").alias("off"), (F.var_samp("on") + F.var_samp("off") - 2 * F.covar_samp("on", "off")).alias("v"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+    side = two.groupBy(*key, "positive").agg(F.count("*").alias("n"), F.avg("on").alias("on"), F.avg("off").alias("off"), F.var_samp(F.col("on") - F.col("off")).alias("v"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     by = side.groupBy(*key).agg(F.sum(F.col("v") / F.col("n")).alias("variance"), F.max(F.when(F.col("positive") == 1, F.col("on") - F.col("off"))).alias("value"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     half = S.Z * F.sqrt(F.greatest("variance", F.lit(0.0)))
     return _cells(by, "delta", benign_class=F.col("against"), contrast=F.lit("canon_on_vs_off"), lo=F.col("value") - half, hi=F.col("value") + half, method=F.lit(V.DELTA_AUC_METHOD))

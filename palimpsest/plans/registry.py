@@ -378,7 +378,7 @@ def _(spark, sf):
     return I.pool(spark, sf).groupBy("split", "source", "label").agg(F.count("*").alias("rows"))
 
 
-@query("agg18_frame_gates", f"WITH {Q.POOL}, by AS (SELECT source, count(*) AS n FROM pool GROUP BY 1) SELECT count(*) AS repositories, CAST(sum(n) AS BIGINT) AS rows, max(n) AS most, count(*) >= 2 AS enough FROM by")
+@query("agg18_frame_gates", f"WITH {Q.POOL}, r AS (SELECT source, count(*) AS n FROM pool GROUP BY 1) SELECT count(*) AS repositories, CAST(sum(n) AS BIGINT) AS rows, max(n) AS most, count(*) >= 2 AS enough FROM r")
 def _(spark, sf):
     by = I.pool(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
     return by.agg(F.count("*").alias("repositories"), F.sum("n").alias("rows"), F.max("n").alias("most"), (F.count("*") >= 2).alias("enough"))
@@ -659,7 +659,7 @@ def _(spark, sf):
     return _fourfold(spark).select("a", "b", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("agg11_mover_and_closed_form", "SELECT round(0.1 - 0.3, 9) + 0.0 AS difference, round(-0.2 - sqrt(0.05 ** 2 + 0.1 ** 2), 9) + 0.0 AS lo, round(-0.2 + sqrt(0.1 ** 2 + 0.2 ** 2), 9) + 0.0 AS hi, round((0.8 * 0.2 + 9 * (0.8 / 1.2 - 0.64) + 19 * (2 * 0.64 / 1.8 - 0.64)) / 200, 9) + 0.0 AS variance")
+@query("agg11_mover_and_closed_form", "SELECT CAST(-0.2 AS DOUBLE) AS difference, round(-0.2 - sqrt(0.05 ** 2 + 0.1 ** 2), 9) + 0.0 AS lo, round(-0.2 + sqrt(0.1 ** 2 + 0.2 ** 2), 9) + 0.0 AS hi, round((0.8 * 0.2 + 9 * (0.8 / 1.2 - 0.64) + 19 * (2 * 0.64 / 1.8 - 0.64)) / 200, 9) + 0.0 AS variance")
 def _(spark, sf):
     difference, lo, hi = S.mover(*[F.lit(x) for x in (0.1, 0.05, 0.2, 0.3, 0.1, 0.4)])
     return spark.range(1).select(difference.alias("difference"), lo.alias("lo"), hi.alias("hi"), S.hanley_mcneil(F.lit(0.8), F.lit(10), F.lit(20)).alias("variance"))

@@ -187,7 +187,7 @@ def _auc() -> str:
 def _auc_delta() -> str:
     by = f"""SELECT baseline_key, chain, chain_class, against, max(n_pos) AS n_pos, max(n_neg) AS n_neg, sum(v / n) AS variance, max(CASE WHEN positive THEN a_on - a_off END) AS value
       FROM (SELECT baseline_key, chain, chain_class, against, positive, count(*) AS n, avg(v_on) AS a_on, avg(v_off) AS a_off, max(n_pos) AS n_pos, max(n_neg) AS n_neg,
-              var_samp(v_on) + var_samp(v_off) - 2 * covar_samp(v_on, v_off) AS v
+              var_samp(v_on - v_off) AS v
             FROM (SELECT x.*, x.v AS v_on, y.v AS v_off FROM item x JOIN item y USING (baseline_key, chain, against, positive, item_id) WHERE x.canon_on AND NOT y.canon_on) GROUP BY ALL)
       WHERE n_pos > 1 AND n_neg > 1 GROUP BY ALL"""
     half = f"{Z} * sqrt(greatest(variance, 0.0))"

@@ -20,7 +20,7 @@ from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.near_dedup import near_dedup
 
 #: A document whose n-grams are less than this share in its language's profile is rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.1
 #: Five words and 80 %, as nothing else is asked for here.
 SHINGLE_WORDS = 5
 JACCARD = 80

@@ -40,7 +40,8 @@ class Canon(NamedTuple):
 
 _HIDDEN = re.compile(f"[{V.INVISIBLE}]+")
 _LOOKALIKE = re.compile(f"[{''.join(map(chr, V.CONFUSABLE))}]+")
-_B64 = re.compile(r"[A-Za-z0-9+/=]+")
+# Runs of base64's alphabet; shorter ones hold no candidate of either encoding.
+_B64 = re.compile(r"[A-Za-z0-9+/=]{%d,}" % V.HEX_CHARS)
 _HEX = re.compile(r"[0-9A-Fa-f]{%d,}" % V.HEX_CHARS)
 
 

@@ -56,8 +56,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "documents")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if a scan has fewer tasks, as one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.render(I.payloads(spark, sf_dir))
+    # Payloads are few and each becomes many rows, so they are not left in the few tasks that their size asks for.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return P.render(I.payloads(spark, sf_dir).repartition(tasks, "text"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,19 +135,19 @@ def _(spark, sf):
 
 @query("can03_nfkc_stage", "SELECT doc_id, sha256(text) AS digest, CAST(0 AS BIGINT) AS edits FROM documents")
 def _(spark, sf):
-    out = _docs(spark, sf).select("doc_id", K.stage_udf("nfkc")("text").alias("r"))
+    out = _spread(_docs(spark, sf)).select("doc_id", K.stage_udf("nfkc")("text").alias("r"))
     return out.select("doc_id", T.digest(F.col("r.text")).alias("digest"), F.size("r.edits").cast("long").alias("edits"))
 
 
 @query("can10_invisible_edits", f"SELECT doc_id, sha256(text) AS digest, CAST(greatest(length(text) - 1, 0) AS BIGINT) AS edits FROM documents")
 def _(spark, sf):
-    out = _docs(spark, sf).select("doc_id", K.stage_udf("invisible")(D.zero_width(F.col("text"))).alias("r"))
+    out = _spread(_docs(spark, sf)).select("doc_id", K.stage_udf("invisible")(D.zero_width(F.col("text"))).alias("r"))
     return out.select("doc_id", T.digest(F.col("r.text")).alias("digest"), F.size("r.edits").cast("long").alias("edits"))
 
 
 @query("can12_canonical_text")
 def _(spark, sf):
-    out = _docs(spark, sf).select("doc_id", K.canonical_udf()("text").alias("c"))
+    out = _spread(_docs(spark, sf)).select("doc_id", K.canonical_udf()("text").alias("c"))
     return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", "c.max_depth_reached")
 
 
@@ -158,14 +166,14 @@ def _(spark, sf):
 
 @query("can12_trace_edits")
 def _(spark, sf):
-    out = _docs(spark, sf).select("doc_id", K.traced_udf()("text").alias("c"))
+    out = _spread(_docs(spark, sf)).select("doc_id", K.traced_udf()("text").alias("c"))
     return out.select("doc_id", F.explode("c.edits").alias("e")).select("doc_id", "e.stage", "e.start", "e.end", "e.depth", T.excerpt(F.col("e.before")).alias("before"), T.excerpt(F.col("e.after")).alias("after"))
 
 
 @query("can13_replay", "SELECT doc_id, true AS same FROM documents")
 def _(spark, sf):
     """The invisible stage's edits, replayed by the JVM over the dressed text, give the stage's text."""
-    out = _docs(spark, sf).select("doc_id", D.zero_width(F.col("text")).alias("t")).withColumn("r", K.stage_udf("invisible")("t"))
+    out = _spread(_docs(spark, sf)).select("doc_id", D.zero_width(F.col("text")).alias("t")).withColumn("r", K.stage_udf("invisible")("t"))
     return out.select("doc_id", (T.replayed(F.col("t"), F.col("r.edits")) == F.col("r.text")).alias("same"))
 
 

@@ -191,15 +191,16 @@ def top_k(vectors: DataFrame, k: int, is_query, scale: int = 64, id_col: str = "
 
     packed = "rows array<long>, ids array<long>, vectors binary"
     trees = rows.repartition(_groups(rows, TREE_VECTORS), F.xxhash64("row")).mapInArrow(lambda b: _pack(b, TREE_VECTORS), packed)
-    trees = materialize(trees.withColumn("tree", F.monotonically_increasing_id()), "trees")
+    numbered = trees.withColumn("tree", F.monotonically_increasing_id()).withColumn("bucket", F.spark_partition_id())
+    trees = materialize(numbered, "trees")
+    last = trees.agg(F.max("bucket")).first()[0] or 0
     queries = rows.where(is_query(F.col("vec_id")))
     blocks = queries.repartition(_groups(queries, BLOCK), F.xxhash64("row")).mapInArrow(lambda b: _pack(b, BLOCK), packed)
     blocks = materialize(blocks.toDF("q_rows", "q_ids", "q_vectors"), "blocks")
 
-    # Each block is sent to each tree; a row of the join holds one of either, a few MB.
-    every = trees.agg(F.collect_list("tree").alias("every"))
-    to_trees = blocks.join(F.broadcast(every)).withColumn("tree", F.explode("every")).drop("every")
-    met = to_trees.join(trees, "tree").repartition(max(1, spark.sparkContext.defaultParallelism), "tree", F.xxhash64("q_rows"))
+    # Each block is sent to each bucket of one or a few trees; a row of the join holds one of either, a few MB.
+    to_trees = blocks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    met = to_trees.join(trees, "bucket").repartition(max(1, spark.sparkContext.defaultParallelism), "tree", F.xxhash64("q_rows"))
     found = met.select("tree", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors").mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

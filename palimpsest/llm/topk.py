@@ -8,12 +8,17 @@ order of these bounds; a node is left alone as soon as k better scores are known
 
 A block of queries searches together: a page is computed for those queries alone whose bounds still
 allow it.  Every query block meets every tree, as packed rows, and sends on k rows per query and tree.
+
+Vectors too long for exact float64 products stay out of the trees.  They, as queries and as candidates, are
+scanned: a float64 product with a bound on its error leaves out what cannot be among the k best, and the rest
+is computed in Python's integers.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +33,8 @@ TREE_VECTORS = 8192
 LEAF = 64
 BLOCK = 512
 FANOUT = 16
-#: Below this, float64 products and sums of integers are exact.
-EXACT = float(1 << 53)
+#: Squared length below which float64 products, sums and squared distances of two integer vectors are exact.
+EXACT = float(1 << 51)
 
 
 class MTree:
@@ -126,18 +131,18 @@ class MTree:
         return best, place
 
 
-def _unpack(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
+def _unpack(blob: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(blob, kind).reshape(n, -1) if n else np.zeros((0, 0), kind)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int, kind: type = np.int64) -> Iterator[pa.RecordBatch]:
     """Rows of one block each: its vectors as bytes, padded to its longest one."""
     held: list[pa.RecordBatch] = []
 
     def out(b: pa.Table) -> pa.RecordBatch:
         vectors = b.column("v").to_pylist()
-        width = max(map(len, vectors))
-        flat = np.zeros((len(vectors), width), np.int64)
+        width = max(1, *map(len, vectors))
+        flat = np.zeros((len(vectors), width), kind)
         for row, v in zip(flat, vectors, strict=True):
             row[: len(v)] = v
         lists = [pa.array([b.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("row", "vec_id")]
@@ -153,16 +158,21 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield out(pa.Table.from_batches(held))
 
 
+def _met(r: dict, kind: type) -> tuple[np.ndarray, ...]:
+    """rows, ids, q_rows, q_ids, vectors and queries, of one width, of a row in which two blocks meet."""
+    rows, ids, q_rows, q_ids = (np.array([2**63 - 1 if x is None else x for x in r[c]], np.int64) for c in ("rows", "ids", "q_rows", "q_ids"))
+    vectors, queries = _unpack(r["vectors"], len(rows), kind), _unpack(r["q_vectors"], len(q_rows), kind)
+    width = max(vectors.shape[1], queries.shape[1])
+    return rows, ids, q_rows, q_ids, *(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, queries))
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, MTree] | None = None
         for b in batches:
             for r in b.to_pylist():
-                rows, ids, q_rows, q_ids = (np.array([2**63 - 1 if x is None else x for x in r[c]], np.int64) for c in ("rows", "ids", "q_rows", "q_ids"))
-                vectors, queries = _unpack(r["vectors"], len(rows)), _unpack(r["q_vectors"], len(q_rows))
-                width = max(vectors.shape[1], queries.shape[1])
-                vectors, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, queries))
-                if last is None or last[0] != r["tree"] or last[1].vectors.shape[1] != width:
+                rows, ids, q_rows, q_ids, vectors, queries = _met(r, np.int64)
+                if last is None or last[0] != r["tree"] or last[1].vectors.shape[1] != vectors.shape[1]:
                     last = (r["tree"], MTree(vectors.astype(np.float64)))
                 best, place = last[1].search(queries.astype(np.float64), np.append(ids, 0), q_rows, rows, k)
                 who, rank = np.nonzero(place >= 0)
@@ -174,37 +184,111 @@ def _search(k: int):
     return run
 
 
+def _integers(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of each component, in Python's integers."""
+    return np.array([math.floor(scale * x) if math.isfinite(scale * x) else scale * int(x) for x in v.tolist()], object)
+
+
+def _order_key(score: int) -> bytes:
+    """Bytes that sort as integers do: sign and length, then the magnitude, inverted below zero."""
+    n = max(8, -(-abs(score).bit_length() // 8))
+    if score >= 0:
+        return ((1 << 31) + n).to_bytes(4) + score.to_bytes(n)
+    return ((1 << 31) - 1 - n).to_bytes(4) + (256**n - 1 + score).to_bytes(n)
+
+
+def scan(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, scale: int) -> Iterator[list[tuple[int, int]]]:
+    """For each query its k best (exact score, position) by score, then by id; ``own``: pairs that do not count."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        q, v = np.floor(scale * queries), np.floor(scale * vectors)
+        near = q @ v.T
+        off = (q.shape[1] + 4) * 2.0**-52 * np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None, :]
+        least, most = near - off, near + off
+    unknown = ~(np.isfinite(least) & np.isfinite(most))  # too large for float64
+    least[unknown], most[unknown] = -np.inf, np.inf
+    least[own] = -np.inf
+    floor = np.partition(least, -k, axis=1)[:, -k] if len(vectors) > k else np.full(len(queries), -np.inf)
+    maybe = (most >= floor[:, None]) & ~own
+    _, same = np.unique(vectors, axis=0, return_inverse=True)  # a vector that is there many times is computed once
+    known: dict[int, np.ndarray] = {}
+    for i, query in enumerate(queries):
+        mine, score = _integers(query, scale), {}
+        for j in np.flatnonzero(maybe[i]):
+            if (at := int(same[j])) not in score:
+                if at not in known:
+                    known[at] = _integers(vectors[j], scale)
+                score[at] = int(mine @ known[at])
+        yield heapq.nsmallest(k, ((score[int(same[j])], int(j)) for j in np.flatnonzero(maybe[i])), key=lambda x: (-x[0], ids[x[1]]))
+
+
+def _scan(k: int, scale: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                rows, ids, q_rows, q_ids, vectors, queries = _met(r, np.float64)
+                out = []
+                for at, best in enumerate(scan(queries, vectors, q_rows[:, None] == rows[None, :], ids, k, scale)):
+                    for score, j in best:
+                        cand = None if ids[j] == 2**63 - 1 else int(ids[j])
+                        out.append((int(q_rows[at]), int(q_ids[at]), cand, score if -(2**63) <= score < 2**63 else None, _order_key(score)))
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["q_row", "query_id", "vec_id", "score", "place"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, k: int, is_query, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over all other rows.
 
-    Each component x counts as floor(scale * x).  A vector that is null, empty, or holds a null or a
-    component that is not finite or, scaled, is beyond 2^20 takes no part.  Shorter vectors count as
-    ending in zeros.  Ties go to the smaller id, null ids last; repeated rows are candidates of each
-    other; a query with fewer than k candidates has fewer rows; an empty table gives none.
+    Each component x counts as floor(scale * x).  A vector that is null or holds a null or a component that
+    is not finite takes no part.  Shorter vectors count as ending in zeros.  Ties go to the smaller id, null
+    ids last; repeated rows are candidates of each other; a query with fewer than k candidates has fewer
+    rows; an empty table gives none.  Ranks are exact at any size; a score that no long holds is null.
     """
-    spark = vectors.sparkSession
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= float(2**20) / scale)) & (F.size("x") > 0)
+    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("x").isNotNull() & fine)
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("x", lambda c: F.floor(scale * c)).alias("v"))
+    squares = F.aggregate("x", F.lit(0.0), lambda a, c: a + (F.abs(c * scale) + 1) * (F.abs(c * scale) + 1))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "x", (squares >= EXACT).alias("long"))
     rows = materialize(rows, "vectors")
+    asked = is_query(F.col("vec_id"))
+    small, large = rows.where("NOT long"), rows.where("long")
+
+    v = F.transform("x", lambda c: F.floor(scale * c)).alias("v")
+    of_trees = small.select("row", "vec_id", v)
+    met = _meet(of_trees.where(asked), of_trees, np.int64)
+    found = met.mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
+    order = [F.desc("score")]
+    if large.limit(1).count():
+        exact = "q_row long, query_id long, vec_id long, score long, place binary"
+        of_scans = [df.select("row", "vec_id", F.col("x").alias("v")) for df in (rows, large, small)]
+        both = [(of_scans[0].where(asked), of_scans[1]), (of_scans[1].where(asked), of_scans[2])]
+        digits = F.when(F.col("score") >= 0, F.concat(F.lit("80000008"), F.lpad(F.hex("score"), 16, "0"))).otherwise(F.concat(F.lit("7FFFFFF7"), F.hex(F.col("score") - 1)))
+        found = found.withColumn("place", F.unhex(digits))
+        for q, c in both:
+            found = found.union(_meet(q, c, np.float64).mapInArrow(_scan(k, scale), exact))
+        order = [F.desc("place")]
+    window = Window.partitionBy("q_row").orderBy(*order, F.col("vec_id").asc_nulls_last())
+    ranked = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
+
+def _meet(queries: DataFrame, vectors: DataFrame, kind: type) -> DataFrame:
+    """Each block of queries with each tree's vectors, both packed; (row, vec_id, v) on either side."""
+    spark = vectors.sparkSession
     packed = "rows array<long>, ids array<long>, vectors binary"
-    trees = rows.repartition(_groups(rows, TREE_VECTORS), F.xxhash64("row")).mapInArrow(lambda b: _pack(b, TREE_VECTORS), packed)
+    trees = vectors.repartition(_groups(vectors, TREE_VECTORS), F.xxhash64("row")).mapInArrow(lambda b: _pack(b, TREE_VECTORS, kind), packed)
     numbered = trees.withColumn("tree", F.monotonically_increasing_id()).withColumn("bucket", F.spark_partition_id())
     trees = materialize(numbered, "trees")
     last = trees.agg(F.max("bucket")).first()[0] or 0
-    queries = rows.where(is_query(F.col("vec_id")))
-    blocks = queries.repartition(_groups(queries, BLOCK), F.xxhash64("row")).mapInArrow(lambda b: _pack(b, BLOCK), packed)
+    blocks = queries.repartition(_groups(queries, BLOCK), F.xxhash64("row")).mapInArrow(lambda b: _pack(b, BLOCK, kind), packed)
     blocks = materialize(blocks.toDF("q_rows", "q_ids", "q_vectors"), "blocks")
 
     # Each block is sent to each bucket of one or a few trees; a row of the join holds one of either, a few MB.
     to_trees = blocks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(last))))
     met = to_trees.join(trees, "bucket").repartition(max(1, spark.sparkContext.defaultParallelism), "tree", F.xxhash64("q_rows"))
-    found = met.select("tree", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors").mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return met.select("tree", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors")
 
 
 def _groups(df: DataFrame, size: int) -> int:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -218,6 +219,21 @@ def test_top_k(spark):
     assert few.count() == 2
 
 
+def test_top_k_of_large_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 10.0 ** rng.choice([0, 4, 5, 8, 20]), 6)]) for i in range(300)]
+    rows += [(300, [20000.0] * 6), (301, [20000.0] * 6), (302, [1e300, -1e300, 3.0]), (303, [2e307] * 6), (304, [1e300, -1e300, 2.0]), (320, [1.7e308, -1.7e308]), (340, []), (341, [float(2**52 + 1), 1.0]), (342, [float(2**52 + 1), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, 20, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    whole = {i: [x.numerator * 64 // x.denominator for x in map(Fraction, v)] for i, v in rows}
+    assert got.keys() == {i for i, _ in rows if i % 20 == 0}
+    for q, found in got.items():
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)[:20]
+        assert found == [(-s if -(2**63) <= -s < 2**63 else None, i) for s, i in best]
+
+
 def test_mtree_finds_what_a_scan_finds():
     rng = np.random.default_rng(4)
     v = np.floor(rng.normal(0, 20, (3000, 16)) + 60 * rng.integers(0, 2, (3000, 1)))

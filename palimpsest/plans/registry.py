@@ -128,6 +128,13 @@ def _(spark, sf):
     return rows.select("doc_id", back(D.to_hex, "hex").alias("from_hex"), back(D.to_base64, "base64").alias("from_base64"))
 
 
+@query("can06_decode_strict_all")
+def _(spark, sf):
+    """All texts: null where the decoder declines an encoding by length or entropy."""
+    back = lambda link, enc: T.digest(T.decoded(link(F.col("text")), enc))
+    return _spread(_docs(spark, sf)).select("doc_id", back(D.to_hex, "hex").alias("from_hex"), back(D.to_base64, "base64").alias("from_base64"))
+
+
 @query("can07_maximal_runs", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9+/=]+')) AS BIGINT) AS wide, CAST(len(regexp_extract_all(text, '[0-9A-Fa-f]{16,}')) AS BIGINT) AS hexes FROM documents")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", *[F.size(T.maximal_runs(F.col("text"), e)).cast("long").alias(n) for e, n in (("base64", "wide"), ("hex", "hexes"))])
@@ -158,12 +165,26 @@ def _(spark, sf):
     return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
 
 
+@query("can12_canonical_of_dressed_all")
+def _(spark, sf):
+    """All texts, nested candidates included, in base64."""
+    out = _spread(_docs(spark, sf)).select("doc_id", K.canonical_udf()(D.to_base64(F.col("text"))).alias("c"))
+    return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
+
+
 @query("can12_ceiling", "SELECT doc_id, true AS ceiling_hit, 3 AS depth FROM documents WHERE length(text) >= 100")
 def _(spark, sf):
     out = _docs(spark, sf).where(F.length("text") >= 100).select("doc_id", K.canonical_udf()(D.dress(F.col("text"), ("base64",) * 4)).alias("c"))
     return out.select("doc_id", "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
 
 
+@query("can12_ceiling_all")
+def _(spark, sf):
+    """All texts, in base64 four times: those that the decoder declines at a level stop there."""
+    out = _spread(_docs(spark, sf)).select("doc_id", K.canonical_udf()(D.dress(F.col("text"), ("base64",) * 4)).alias("c"))
+    return out.select("doc_id", "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
+
+
 @query("can12_trace_edits")
 def _(spark, sf):
     out = _spread(_docs(spark, sf)).select("doc_id", K.traced_udf()("text").alias("c"))
@@ -234,6 +255,21 @@ def _(spark, sf):
     return out.groupBy("chain").agg(F.count("*").alias("n"), F.count_if(F.col("plain") != F.col("again")).alias("differ"))
 
 
+@query("drs18_round_trip_all")
+def _(spark, sf):
+    """All payloads, at a ceiling of 12, by chain: those whose encoding the decoder declines, and of the others those that
+    reach the ceiling, plain or dressed, and those whose canonical text differs."""
+    udf = K.canonical_udf(12)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = I.chat(spark, sf).repartition(tasks, "text").select(udf("text").alias("plain"), "text")
+    each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.dress(F.col("text"), c).alias("dressed"), D.declined(F.col("text"), c).isNotNull().alias("declined")) for c in V.BOUND_CHAINS])
+    out = rows.select("plain", F.explode(each).alias("d")).select("plain", "d.chain", "d.declined", udf("d.dressed").alias("again"))
+    ceiling = F.col("plain.ceiling_hit") | F.col("again.ceiling_hit")
+    differ = ~ceiling & (F.col("plain.text") != F.col("again.text"))
+    counts = {"declined": F.col("declined"), "ceiling": ~F.col("declined") & ceiling, "differ": ~F.col("declined") & differ}
+    return out.groupBy("chain").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+
+
 # --- normal forms, tokens, verifiers ---------------------------------------------------------------
 
 @query("txt01_normalize", f"SELECT doc_id, sha256({Q.norm('text')}) AS digest FROM documents")

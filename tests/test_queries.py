@@ -1,12 +1,17 @@
 """Queries of the registry against their SQL in DuckDB on the smallest tables."""
 
+import base64
 import glob
+import hashlib
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 
+from palimpsest.functions import dressings as D
+from palimpsest.functions import vocabulary as V
 from palimpsest.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +46,52 @@ def test_query(spark, con, name):
 
 def test_registry_is_whole():
     assert registry.oracle_sql().keys() <= registry.queries().keys() and len(registry.queries()) > 80
+
+
+def _first_declined(text, chain):
+    """Brute force of the decline rule: a prefix's run of the link's alphabet that is too short or too even."""
+    for link in chain:
+        text = {"base64": lambda t: base64.b64encode(t.encode()).decode(), "hex": lambda t: t.encode().hex(), "homoglyph": lambda t: t.translate(GLYPHS), "zero_width": "\u200b".join}[link](text)
+        least, floor = {"base64": (24, 3.0), "hex": (16, 2.5)}.get(link, (0, 0.0))
+        if least and (len(text) < least or -sum(k / len(text) * math.log2(k / len(text)) for k in Counter(text).values()) < floor):
+            return text, True
+    return text, False
+
+
+GLYPHS = str.maketrans(D.substitutes())
+EDGE = ["Hi.", "seven b", "eight b!", "fifteen bytes..", "sixteen bytes...", "a" * 20, "é" * 8, "aGVsbG8gdGhlcmUsIG15IGZyaWVuZA==", "446f206974206e6f77206f72206e6f74", "The payload here has fifty nine characters or a few less."]
+
+
+def test_whole_rows_are_decoded_and_round_tripped(spark, tmp_path):
+    """Short texts and such with nested candidates take part as any others do."""
+    spark.createDataFrame(list(enumerate(EDGE)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("user", t) for t in EDGE], "role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = lambda name: {r[0]: tuple(r)[1:] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    decoded, dressed, ceiling, trips = map(rows, ("can06_decode_strict_all", "can12_canonical_of_dressed_all", "can12_ceiling_all", "drs18_round_trip_all"))
+    assert len(decoded) == len(dressed) == len(ceiling) == len(EDGE)
+    inside = {7: "hello there, my friend", 8: "Do it now or not"}
+    for i, t in enumerate(EDGE):
+        assert decoded[i] == tuple(None if _first_declined(t, (c,))[1] else sha(t) for c in ("hex", "base64"))
+        blob, declined = _first_declined(t, ("base64",))
+        assert dressed[i] == (sha(blob if declined else inside.get(i, t)), False, 0 if declined else 1 + (i in inside))
+        stops = next((k for k in range(1, 5) if _first_declined(t, ("base64",) * k)[1]), None)
+        # The outermost run is the longest; where the innermost is declined the ceiling is not reached.
+        assert ceiling[i] == ((True, 3) if stops is None else (False, 0 if _declines(t, 4) else 4 - _levels(t)))
+    for c in V.BOUND_CHAINS:
+        assert trips[D.chain_name(c)] == (len(EDGE), sum(_first_declined(t, c)[1] for t in EDGE), 0, 0)
+
+
+def _runs(t):
+    return [t := base64.b64encode(t.encode()).decode() for _ in range(4)]
+
+
+def _declines(t, level):
+    run = _runs(t)[level - 1]
+    return len(run) < 24 or -sum(k / len(run) * math.log2(k / len(run)) for k in Counter(run).values()) < 3.0
+
+
+def _levels(t):
+    """The outermost level that is declined: what lies below it stays encoded."""
+    return max(k for k in range(1, 5) if _declines(t, k))

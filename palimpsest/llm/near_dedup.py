@@ -30,9 +30,11 @@ from palimpsest.llm.common import materialize, release, table
 SKETCH = 64
 INDEXED = 24
 LONG_LIST = 32
-#: Values of long lists by which a node is looked for there, and set elements of a block.
+#: Values of long lists by which a node is looked for there, and set elements and nodes of a block: two full blocks
+#: are compared in arrays of all nodes by all nodes.
 LONG_VALUES = 8
 BLOCK_ELEMENTS = 1 << 18
+BLOCK_NODES = 2000
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.5
 REMEMBERED = 1_000_000
@@ -226,7 +228,7 @@ def _links(source: DataFrame, nodes: DataFrame, schema: str, width: int, thresho
 
     seen = common.where("mostly").select("node", F.explode(F.slice("long_values", 1, LONG_VALUES)).alias("v"))
     lists = seen.join(full.select("node", "n"), "node").groupBy("v").agg(F.sum("n").alias("elements"), F.count("*").alias("members")).where("members > 1")
-    lists = lists.select("v", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    lists = lists.select("v", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("members") / BLOCK_NODES)).cast("int").alias("blocks"))
     member = seen.join(lists, "v").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     twos = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
     member = member.select("v", "node", F.explode(twos).alias("two")).join(full, "node")

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -100,6 +101,30 @@ def test_near_dedup(spark, docs, empty, monkeypatch, long_list):
     assert near_dedup.near_dedup(empty).collect() == []
 
 
+def test_near_dedup_bounds_blocks_by_nodes(spark, tmp_path, monkeypatch):
+    """Templated texts with one word of their own have few set elements; still no task compares too many of them at once."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 50, raising=False)
+    log, forest = str(tmp_path), near_dedup._forest
+
+    def seen(threshold):
+        inner = forest(threshold)
+
+        def run(df):
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(df.column("node").unique())))
+            return inner(df)
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_forest", seen)
+    texts = [f"dear reader please find the item you asked about under number {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dedup.near_dedup(df, width=3, threshold=80).collect()
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(sizes) > 1 and max(sizes) <= 200  # two blocks, dealt by a hash
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 20)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels, lambda c: common.id_fold(c, 5) != 0)

@@ -19,6 +19,7 @@ from palimpsest.functions import vocabulary as V
 from palimpsest.operators import cells as C
 from palimpsest.operators import corpus as P
 from palimpsest.operators import findings as N
+from palimpsest.operators import gates as G
 from palimpsest.operators import report as R
 from palimpsest.operators import scoring as M
 from palimpsest.plans import sql as Q
@@ -309,6 +310,17 @@ def _(spark, sf):
     return df.select("k", T.is_jwt(text).alias("jwt"), T.carries_hash(text, F.col("source")).alias("content_hash"), T.is_data_uri(text).alias("data_uri"), T.is_ssh_key(text).alias("ssh_public_key"))
 
 
+_MESSAGES = [
+    *[(f"m{k}", kind, f"see {text}, please", "x" if kind == "content_hash" else None) for k, (kind, (text, _)) in enumerate(zip(("jwt", "jwt", "data_uri", "jwt", "ssh_public_key", "ssh_public_key", "content_hash"), _VERIFIED, strict=False)) if k != 2],
+    ("m2", "data_uri", "see data:text/plain;base64,SGVsbG8= please", None), ("m7", "pgp", "x", None), ("m8", "jwt", _VERIFIED[0][0], "x"), ("m9", "content_hash", "y", None), ("m9", "pgp", "x", None),
+]
+
+
+@query("txt11_message_problems", "SELECT * FROM (VALUES ('m1', 'not what it declares'), ('m3', 'not what it declares'), ('m5', 'not what it declares'), ('m7', 'unknown kind'), ('m7', 'repeated text'), ('m8', 'source of no hash'), ('m9', 'not what it declares'), ('m9', 'unknown kind'), ('m9', 'repeated key')) t(key, problem)")
+def _(spark, sf):
+    return G.message_problems(spark.createDataFrame(_MESSAGES, "key string, kind string, text string, hashed_source string"))
+
+
 @query("txt12_repository_identity", "SELECT doc_id, source AS repository, lang AS revision, 'dir/' || CAST(doc_id AS VARCHAR) || '.py' AS path FROM documents")
 def _(spark, sf):
     name = F.concat(F.lit("github.com/"), "source", F.lit("@"), "lang", F.lit(":dir/"), F.col("doc_id").cast("string"), F.lit(".py"))
@@ -317,6 +329,36 @@ def _(spark, sf):
 
 # --- gates, overlaps, draws ------------------------------------------------------------------------
 
+_LICENSED = [
+    ("a", "x/a", "r1", "x/a at r1", True, "MIT", None), ("b", "x/b", "r1", "x/b", True, "gpl-3.0", None), ("c", "x/c", "", "nobody", True, "", "me"), ("d", "x/d", "", "x/d", True, "not-declared", None),
+    ("e", "x/e", "", "x/e", True, "not-declared", "me"), ("f", "x/f", None, "x/f", True, "wtfpl", None), ("g", "x/g", "r2", "x/g", False, "gpl-3.0", None),
+]
+
+
+@query("flt10_licence_problems", "SELECT * FROM (VALUES ('b', 'revision not credited'), ('b', 'refused licence'), ('c', 'repository not credited'), ('c', 'empty identifier'), ('d', 'no licence'), ('f', 'unknown licence'), ('g', 'revision not credited')) t(label, problem)")
+def _(spark, sf):
+    return G.licence_problems(spark.createDataFrame(_LICENSED, "label string, repository string, revision string, attribution string, redistributed boolean, identifier string, accepted string"))
+
+
+@query("flt13_cell_problems", "SELECT * FROM (VALUES ('b_none', 'rot13', 'unknown class'), ('b_chat', 'rot26', 'undeclared chain'), ('b_chat', 'base64', 'not falsifiable'), ('b_code', 'clean', 'not falsifiable')) t(benign_class, chain, problem)")
+def _(spark, sf):
+    cells = [("b_none", "rot13"), ("b_chat", "rot26"), ("b_chat", "base64"), ("b_code", "clean"), ("b_code", "rot13"), ("b_chat", "base64+base64+base64+base64")]
+    return G.cell_problems(spark.createDataFrame(cells, "benign_class string, chain string"), P.chain_table(spark))
+
+
+@query("gat03_foreign_shards", "SELECT * FROM (VALUES ('s1', 'split'), ('s2', 'corpus'), ('s3', 'split'), ('s3', 'corpus')) t(name, problem)")
+def _(spark, sf):
+    kind = "name string, shards int, shard int, build_id string"
+    found = [("s0", 4, 0, "b1"), ("s1", 5, 1, "b1"), ("s2", 4, 2, "b0"), ("s3", 4, 0, None), ("old", 9, 0, "b0")]
+    return G.foreign_shards(spark.createDataFrame(found, kind), spark.createDataFrame([(f"s{i}", 4, i, "b1") for i in range(4)], kind))
+
+
+@query("att01_attribution_problems", "SELECT * FROM (VALUES (2, 'x/b at r0', 'committed'), (2, 'x/b at r1', 'expected'), (3, 'x/c at r1', 'expected')) t(number, line, side)")
+def _(spark, sf):
+    lines = lambda *ls: spark.createDataFrame(list(enumerate(ls, 1)), "number int, line string")
+    return G.attribution_problems(lines("x/a at r1", "x/b at r0"), lines("x/a at r1", "x/b at r1", "x/c at r1"))
+
+
 _GONE = "gone AS (SELECT sha256(text) AS digest FROM benchmark UNION SELECT sha256(text) FROM pool WHERE index % 10 = 0)"
 
 

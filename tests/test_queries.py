@@ -95,3 +95,8 @@ def _declines(t, level):
 def _levels(t):
     """The outermost level that is declined: what lies below it stays encoded."""
     return max(k for k in range(1, 5) if _declines(t, k))
+
+
+@pytest.mark.parametrize("name", ["txt11_message_problems", "flt10_licence_problems", "flt13_cell_problems", "gat03_foreign_shards", "att01_attribution_problems"])
+def test_gates_over_declarations(spark, con, name):
+    test_query(spark, con, name)

@@ -39,10 +39,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, and every one without an id."""
-    kept = near_dedup(docs, width=SHINGLE_WORDS, threshold=JACCARD).where("kept").select(F.col("doc_id").alias("__kept"))
-    kept = kept.union(spark.range(1).select(F.lit(None).cast("long").alias("__kept"))).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """Of each group of near-duplicates one document stays: the one with the smallest id (null last), then by digest.
+
+    Rows are told apart by id and text; rows equal in both are exact duplicates, of which the stage before leaves one.
+    """
+    id_, text = F.col("doc_id"), F.col("text")
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("digest"))
+    kept = near_dedup(docs.select(key.alias("doc_id"), "text"), width=SHINGLE_WORDS, threshold=JACCARD).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept.hint("merge"), key.eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

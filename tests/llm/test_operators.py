@@ -411,6 +411,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(seen[3])
 
 
+def test_pipeline_near_keeps_one_row_of_each_group(spark):
+    """Whether ids are null, repeated on several texts, or neither."""
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (None, base + " x"), (3, base + " y"), (None, "other " + " ".join(f"v{i}" for i in range(60))), (None, "other " + " ".join(f"v{i}" for i in range(60)) + " z"), (None, "alone in its group of one"), (4, " "), (None, "")]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    groups = Counter(r.text.split()[0] if r.text.split() else "" for r in got)
+    assert groups == {"w0": 1, "other": 1, "alone": 1, "": 2}
+    assert {r.doc_id for r in got if r.text.startswith("w0")} == {3}
+
+
 def test_queries_are_those_of_the_contracts(spark):
     import __spark_entry__ as e
 

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from math import log2
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ class Canon(NamedTuple):
     edits: list[Edit]
     ceiling_hit: bool
     max_depth_reached: int
+    stages: frozenset[str]  # of those with an edit
 
 
 _HIDDEN = re.compile(f"[{V.INVISIBLE}]+")
@@ -86,10 +88,14 @@ def _composed(text: str, trace: bool) -> tuple[str, list[Edit]]:
 def shannon(run: str) -> float:
     """Bits a character, summed in the order of characters."""
     n = len(run)
+    if n < 64 or not run.isascii():
+        counts = [run.count(c) for c in sorted(set(run))]
+    else:
+        every = np.bincount(np.frombuffer(run.encode(), np.uint8))
+        counts = every[every > 0].tolist()
     total = 0.0
-    for c in sorted(set(run)):
-        p = run.count(c) / n
-        total -= p * log2(p)
+    for k in counts:
+        total -= k / n * log2(k / n)
     return total
 
 
@@ -119,12 +125,24 @@ def candidates(text: str) -> Iterable[tuple[int, int, str | None]]:
             yield from hexes
 
 
+#: Each stage's name, what it makes of a text, and the same with edits.
+_STEPS = (
+    ("invisible", lambda t: _HIDDEN.sub("", t), _hidden),
+    ("confusables", lambda t: t.translate(V.CONFUSABLE) if _LOOKALIKE.search(t) else t, _folded),
+    ("nfkc", lambda t: unicodedata.normalize("NFKC", t), _composed),
+)
+
+
 def canonicalize(text: str, ceiling: int = V.CEILING, trace: bool = True, depth: int = 0) -> Canon:
     """CAN-12.  An accepted decode is a document of its own at the next depth; the host is not scanned again."""
     edits: list[Edit] = []
-    for step in (_hidden, _folded, _composed):
+    stages: set[str] = set()
+    for stage, plain, traced in _STEPS:
         if not text.isascii():
-            text, found = step(text, trace)
+            new, found = traced(text, True) if trace else (plain(text), [])
+            if new != text:
+                stages.add(stage)
+            text = new
             edits += (e._replace(depth=depth) for e in found)
     out, done, hit, deepest = [], 0, False, depth
     for a, b, inner in candidates(text):
@@ -133,37 +151,45 @@ def canonicalize(text: str, ceiling: int = V.CEILING, trace: bool = True, depth:
             hit, inner, stage = True, None, V.DECODE_CEILING
         else:
             stage = V.DECODE
+        stages.add(stage)
         if trace:
             edits.append(Edit(stage, a, b, old, old if inner is None else inner, depth))
         if inner is not None:
             sub = canonicalize(inner, ceiling, trace, depth + 1)
             edits += sub.edits
+            stages |= sub.stages
             hit, deepest = hit or sub.ceiling_hit, max(deepest, sub.max_depth_reached)
             out += (text[done:a], sub.text)
             done = b
-    return Canon("".join([*out, text[done:]]), edits, hit, deepest)
+    return Canon("".join([*out, text[done:]]), edits, hit, deepest, frozenset(stages))
+
+
+_FLAGS = "ceiling_hit:boolean,max_depth_reached:int,stages:array<string>"
+_FLAG_FIELDS = [("ceiling_hit", pa.bool_()), ("max_depth_reached", pa.int32()), ("stages", pa.list_(pa.string()))]
+
+
+def _flags(r: Canon) -> dict:
+    return {"ceiling_hit": r.ceiling_hit, "max_depth_reached": r.max_depth_reached, "stages": [s for s in V.TRACE_LABELS if s in r.stages]}
 
 
 def canonical_udf(ceiling: int = V.CEILING):
-    """text -> struct<text, ceiling_hit, max_depth_reached>; null for null."""
+    """text -> struct<text, ceiling_hit, max_depth_reached, stages>; null for null."""
 
-    @F.arrow_udf("struct<text:string,ceiling_hit:boolean,max_depth_reached:int>")
+    @F.arrow_udf(f"struct<text:string,{_FLAGS}>")
     def run(text: pa.Array) -> pa.Array:
-        kind = pa.struct([("text", pa.string()), ("ceiling_hit", pa.bool_()), ("max_depth_reached", pa.int32())])
         rows = (None if t is None else canonicalize(t, ceiling, trace=False) for t in text.to_pylist())
-        return pa.array([r and {"text": r.text, "ceiling_hit": r.ceiling_hit, "max_depth_reached": r.max_depth_reached} for r in rows], kind)
+        return pa.array([r and {"text": r.text, **_flags(r)} for r in rows], pa.struct([("text", pa.string()), *_FLAG_FIELDS]))
 
     return run
 
 
 def traced_udf(ceiling: int = V.CEILING):
-    """text -> struct<text, edits, ceiling_hit, max_depth_reached>; null for null."""
+    """text -> struct<text, edits, ceiling_hit, max_depth_reached, stages>; null for null."""
 
-    @F.arrow_udf(f"struct<text:string,edits:array<{EDIT_TYPE}>,ceiling_hit:boolean,max_depth_reached:int>")
+    @F.arrow_udf(f"struct<text:string,edits:array<{EDIT_TYPE}>,{_FLAGS}>")
     def run(text: pa.Array) -> pa.Array:
-        kind = pa.struct([("text", pa.string()), ("edits", pa.list_(_EDIT)), ("ceiling_hit", pa.bool_()), ("max_depth_reached", pa.int32())])
         rows = (None if t is None else canonicalize(t, ceiling) for t in text.to_pylist())
-        return pa.array([r and {"text": r.text, "edits": [e._asdict() for e in r.edits], "ceiling_hit": r.ceiling_hit, "max_depth_reached": r.max_depth_reached} for r in rows], kind)
+        return pa.array([r and {"text": r.text, "edits": [e._asdict() for e in r.edits], **_flags(r)} for r in rows], pa.struct([("text", pa.string()), ("edits", pa.list_(_EDIT)), *_FLAG_FIELDS]))
 
     return run
 

@@ -1,4 +1,4 @@
-"""Column functions over text.  All run in the JVM except ``normalized`` and those of ``canon``."""
+"""Column functions over text.  All run in the JVM except ``normalized``, ``entropy`` and those of ``canon``."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from palimpsest.functions import vocabulary as V
+from palimpsest.functions.canon import shannon
 
 #: What strict decoders take as base64 and as hex.
 STRICT_BASE64 = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
@@ -43,18 +44,13 @@ def kernel(text: Column) -> Column:
     return fold_confusables(strip_invisible(text))
 
 
-def entropy(text: Column) -> Column:
+@F.arrow_udf(DoubleType())
+def entropy(text: pa.Array) -> pa.Array:
     """CAN-04: Shannon bits a character, summed in the order of characters; 0 for the empty string.
 
-    A character's count is how much shorter the text is without it.
+    Counting in the JVM takes a pass over the text for each distinct character; this takes one.
     """
-
-    def bits(t: Column) -> Column:
-        n = F.length(t)
-        counts = F.transform(F.array_sort(F.array_distinct(F.split(t, ""))), lambda c: n - F.length(F.replace(t, c, F.lit(""))))
-        return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n)))
-
-    return let(text, bits)
+    return pa.array([None if t is None else shannon(t) for t in text.to_pylist()], pa.float64())
 
 
 def is_candidate(run: Column, encoding: str) -> Column:
@@ -66,12 +62,8 @@ def is_candidate(run: Column, encoding: str) -> Column:
 def decoded(run: Column, encoding: str) -> Column:
     """CAN-06: the text that a candidate encodes, strictly, or null."""
     strict = STRICT_HEX if encoding == "hex" else STRICT_BASE64
-
-    def inside(r: Column) -> Column:
-        raw = F.when(r.rlike(strict), F.try_to_binary(r, F.lit(encoding))).cast("string")
-        return F.when(is_candidate(r, encoding) & F.is_valid_utf8(raw), raw)
-
-    return let(run, inside)
+    raw = F.when(run.rlike(strict), F.try_to_binary(run, F.lit(encoding))).cast("string")
+    return F.when(is_candidate(run, encoding) & F.is_valid_utf8(raw), raw)
 
 
 def maximal_runs(text: Column, encoding: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import dressings as D
 from palimpsest.functions import stats as S
 from palimpsest.functions import vocabulary as V
+from palimpsest.sources.shared import materialize
 
 AXES = ("baseline_key", "chain", "chain_class", "canon_on", "family", "benign_class")
 COLUMNS = (
@@ -22,9 +23,11 @@ COLUMNS = (
 
 
 def keyed(scores: DataFrame, baselines: DataFrame) -> DataFrame:
-    """JOIN-11: each score with its cell's axes and whether it is a detection (MDL-08)."""
+    """JOIN-11: each score with its cell's axes and whether it is a detection (MDL-08); an undeclared baseline is an error."""
     parsed = D.parse_item_id(F.col("item_id"))
-    rows = scores.withColumn("parsed", parsed).join(F.broadcast(baselines.select("baseline_key", "threshold")), "baseline_key")
+    rows = scores.withColumn("parsed", parsed).join(F.broadcast(baselines.select("baseline_key", "threshold")), "baseline_key", "left")
+    undeclared = F.raise_error(F.concat(F.lit("no baseline is declared as "), F.coalesce("baseline_key", F.lit("null")))).cast("double")
+    rows = rows.withColumn("threshold", F.when(F.col("threshold").isNull(), undeclared).otherwise(F.col("threshold")))
     return rows.select(
         "baseline_key", F.col("parsed.chain").alias("chain"), D.chain_class(D.parse_chain(F.col("parsed.chain"))).alias("chain_class"),
         (F.col("condition") == V.CANONICAL).alias("canon_on"), "family", "benign_class", F.col("parsed.payload_id").alias("payload_id"), "item_id",
@@ -87,13 +90,22 @@ _AUC_KEY = ("baseline_key", "chain", "chain_class", "canon_on", "against")
 def _components(rows: DataFrame) -> DataFrame:
     """Each item's structural component, from counts of the other side below and beside it.
 
-    Scores are counted first, so windows run over distinct scores of a cell.
+    Distinct scores are dealt by ranges of (cell, score), so a cell is many tasks: sums run within a range, and the
+    sums of the ranges before, of which there are as many as tasks and cells, are added by a join.
     """
     by = _sides(rows).groupBy(*_AUC_KEY, "p_injection").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
+    tasks = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = materialize(by.repartitionByRange(tasks, *_AUC_KEY, "p_injection").withColumn("range", F.spark_partition_id()), "ranges")
+    total = by.groupBy(*_AUC_KEY, "range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     cell = Window.partitionBy(*_AUC_KEY)
-    below = cell.orderBy("p_injection").rowsBetween(Window.unboundedPreceding, -1)
-    under = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0))
-    by = by.withColumn("n_pos", F.sum("pos").over(cell)).withColumn("n_neg", F.sum("neg").over(cell))
+    before = cell.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = total.select(
+        *_AUC_KEY, "range", F.sum("pos").over(cell).alias("n_pos"), F.sum("neg").over(cell).alias("n_neg"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")],
+    )
+    below = Window.partitionBy(*_AUC_KEY, "range").orderBy("p_injection").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.join(offset, [*_AUC_KEY, "range"])
+    under = lambda c: F.col(f"{c}_before") + F.coalesce(F.sum(c).over(below), F.lit(0))
     v10 = (under("neg") + F.col("neg") / 2) / F.col("n_neg")
     v01 = (F.col("n_pos") - under("pos") - F.col("pos") / 2) / F.col("n_pos")
     return by.where("n_pos > 1 AND n_neg > 1").withColumn("v10", v10).withColumn("v01", v01)

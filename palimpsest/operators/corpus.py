@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import canon as K
 from palimpsest.functions import dressings as D
 from palimpsest.functions import text as T
 from palimpsest.functions import vocabulary as V
@@ -109,12 +110,14 @@ def draw_per_group(rows: DataFrame, group: str, cap: int, seed: int) -> DataFram
 
 
 def eligible(files: DataFrame, suffixes: tuple[str, ...], least: int, most: int) -> DataFrame:
-    """FLT-08, FLT-09: files (path, text) of a suffix and size that offer the decoder a candidate."""
-    suffix = F.concat(F.lit("."), F.substring_index("path", ".", -1))
-    size = F.octet_length("text")
-    hexes = F.exists(T.maximal_runs(F.col("text"), "hex"), lambda r: F.length(r) >= V.HEX_CHARS)
-    wide = F.exists(T.maximal_runs(F.col("text"), "base64"), lambda r: F.length(r) >= V.BASE64_CHARS)
-    return files.where(F.contains("path", F.lit(".")) & suffix.isin(*suffixes) & size.between(least, most) & (hexes | wide))
+    """FLT-08, FLT-09: files (path, text) of a suffix, in any case, and size whose canonicalization meets a run to decode.
+
+    Path and size are tested first, so only files that pass are canonicalized.
+    """
+    suffix = F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1)))
+    some = files.where(F.contains("path", F.lit(".")) & suffix.isin(*suffixes) & F.octet_length("text").between(least, most))
+    met = some.withColumn("__stages", K.canonical_udf()("text")["stages"])
+    return met.where(F.arrays_overlap("__stages", F.array(F.lit(V.DECODE), F.lit(V.DECODE_CEILING)))).drop("__stages")
 
 
 def chain_table(spark) -> DataFrame:
@@ -144,24 +147,32 @@ def id_collisions(items: DataFrame) -> DataFrame:
 def similar(sources: DataFrame, payloads: DataFrame, ratio: float = V.OVERLAP_RATIO, k: int = V.SHINGLE) -> DataFrame:
     """JOIN-08: sources (id, text) that hold a payload (payload_id, text), or ``ratio`` of its shingles.
 
-    An inverted index on shingles finds pairs.  Payloads of fewer than ``k`` tokens are found by the
-    k' tokens that they have, in the same way: a source's runs of each short length are its shingles of
-    that length, so no side is compared with every row of the other.
+    An inverted index finds pairs, and full sets of shingles confirm them.  A match lacks few of a payload's
+    shingles, so it has one of the rarest of them, one more than it may lack: only these are looked up, and
+    a shingle that all texts share brings nothing together unless a payload has no rarer ones.  Payloads of
+    fewer than ``k`` tokens are found by runs of the lengths that occur among them, in the same way.
     """
     source = sources.select("id", T.normalized("text").alias("norm")).select("id", T.tokens(F.col("norm")).alias("w"))
     wanted = payloads.select("payload_id", T.normalized("text").alias("norm")).select("payload_id", "norm", T.tokens(F.col("norm")).alias("w"))
     wanted = wanted.where(F.size("w") > 0)
     long = wanted.where(F.size("w") >= k).withColumn("s", T.shingles(F.col("w"), k))
-    need = long.select("payload_id", F.size("s").alias("need"), F.explode("s").alias("s"))
+    every = long.select("payload_id", F.size("s").alias("need"), F.explode("s").alias("s"))
     have = source.select("id", F.explode(T.shingles(F.col("w"), k)).alias("s"))
-    shared = have.join(need, "s").groupBy("id", "payload_id", "need").agg(F.count("*").alias("shared"))
-    score = F.col("shared") / F.col("need")
-    near = shared.where(score >= ratio).withColumn("score", score).select("id", "payload_id", "score")
+    often = have.join(every.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("payload_id").orderBy("often", "s")
+    rare = every.join(often, "s", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("place", F.row_number().over(rarest))
+    # With at least ceil(ratio * need) shared, at most need less that are lacking.
+    rare = rare.where(F.col("place") <= F.col("need") - F.ceil(ratio * F.col("need") - 1e-9) + 1).where("often > 0").select("payload_id", "s")
+    pairs = have.join(rare, "s").select("id", "payload_id").distinct()
+    met = pairs.join(long.select("payload_id", F.col("s").alias("ps")), "payload_id").join(source.select("id", T.shingles(F.col("w"), k).alias("ss")), "id")
+    score = F.size(F.array_intersect("ps", "ss")) / F.size("ps")
+    near = met.withColumn("score", score).where(F.col("score") >= ratio).select("id", "payload_id", "score")
     whole = near.where("score = 1").join(wanted.select("payload_id", "norm"), "payload_id").join(source, "id")
     whole = whole.where(T.contains_run(F.array_join("w", " "), F.col("norm"))).select("id", "payload_id", F.lit("contains").alias("found"))
     out = near.join(whole, ["id", "payload_id"], "left").withColumn("kind", F.coalesce("found", F.lit("shingles"))).drop("found")
     brief = wanted.where(F.size("w") < k).select("payload_id", "norm")
-    lengths = [T.shingles(F.col("w"), j) for j in range(1, k)]
+    occur = [r["n"] for r in wanted.where(F.size("w") < k).select(F.size("w").alias("n")).distinct().collect()]  # fewer than k
+    lengths = [T.shingles(F.col("w"), j) for j in sorted(occur)] or [F.array().cast("array<string>")]
     runs = source.select("id", F.explode(F.array_distinct(F.flatten(F.array(*lengths)))).alias("norm"))
     short = runs.join(brief, "norm").select("id", "payload_id", F.lit(None).cast("double").alias("score"), F.lit("contains").alias("kind"))
     return out.select("id", "payload_id", "score", "kind").union(short)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,39 @@ def numbered(findings: DataFrame) -> DataFrame:
     return df.withColumn("number", F.row_number().over(w)).withColumn("group", F.dense_rank().over(kind)).drop("all")
 
 
+#: A cell's coordinate, and for each finding the coordinates that it names beside its own baseline, chain and class.
+COORDINATE = ("kind", "baseline_key", "chain", "chain_class", "canon_on", "family", "benign_class", "contrast", "population")
+_AREA = {"kind": "auc", "contrast": "attacks_vs_", "population": V.ALL_ITEMS}
+_AREA_DELTA = {"kind": "delta", "contrast": "canon_on_vs_off", "population": V.ALL_ITEMS}
+NAMED: dict[str, list[dict]] = {
+    "saturation": [_AREA], "resolution": [_AREA], "bound_chain_definitional": [_AREA_DELTA],
+    "sign_disagreement": [_AREA_DELTA, {**_AREA_DELTA, "family": V.ATTACK, "benign_class": None}],
+    "rate_pinned": [{"kind": "rate", "contrast": None, "population": V.ALL_ITEMS, "canon_on": on} for on in (True, False)],
+    "windows_matched_divergence": [{**_AREA_DELTA, "population": p} for p in (V.ALL_ITEMS, V.SINGLE_WINDOW)],
+}
+
+
+def named(findings: DataFrame) -> DataFrame:
+    """Each finding with each cell coordinate that it names, as ``key``."""
+
+    def key(given: dict) -> Column:
+        types = {"canon_on": "boolean"}
+        value = lambda c: F.col(c) if c not in given else F.concat(F.lit(given[c]), "benign_class") if given[c] == "attacks_vs_" else F.lit(given[c])
+        return F.struct(*[value(c).cast(types.get(c, "string")).alias(c) for c in COORDINATE])
+
+    keys = F.coalesce(*[F.when(F.col("finding") == k, F.array(*map(key, given))) for k, given in NAMED.items()])
+    return findings.withColumn("key", F.explode(keys))
+
+
 def anchored(findings: DataFrame, cells: DataFrame) -> DataFrame:
-    """JOIN-20: how many cells each finding is anchored at; its null axes meet null ones or none at all."""
-    f, c = findings.alias("f"), cells.where("kind IN ('rate', 'auc', 'delta')").alias("c")
-    same: Column = F.col("f.baseline_key") == F.col("c.baseline_key")
-    for axis in ("chain", "benign_class", "family"):
-        same = same & F.col(f"f.{axis}").eqNullSafe(F.col(f"c.{axis}"))
-    met = f.join(c, same, "left").groupBy(*[F.col(f"f.{x}") for x in findings.columns])
-    return met.agg(F.count("c.kind").alias("anchors"))
+    """JOIN-20: for each coordinate that a finding names how many cells are there, null axes meeting null ones.
+
+    One cell is an anchor; none or several are none.
+    """
+    keys = named(findings)
+    there = cells.groupBy(*COORDINATE).agg(F.count("*").alias("cells"))
+    same = reduce(lambda x, y: x & y, [F.col(f"key.{c}").eqNullSafe(there[c]) for c in COORDINATE])
+    return keys.join(there.select(*[there[c] for c in COORDINATE], "cells"), same, "left").select(*[keys[c] for c in findings.columns], "key", F.coalesce("cells", F.lit(0)).alias("cells"))
 
 
 def headlines(df: DataFrame) -> DataFrame:

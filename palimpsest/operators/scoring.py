@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import canon as K
 from palimpsest.functions import text as T
 from palimpsest.functions import vocabulary as V
 
@@ -27,13 +28,17 @@ def digest_score(key: Column, text: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def conditioned(items: DataFrame, canonical: Callable[[Column], Column] = T.kernel) -> DataFrame:
-    """Each item raw and canonical; the canonical text is computed once, before baselines fan out."""
+def conditioned(items: DataFrame, ceiling: int = V.CEILING) -> DataFrame:
+    """Each item raw and canonical: condition, seen, and of the canonicalizer the depth and whether it hit its ceiling.
+
+    Items are canonicalized once, before baselines fan out.
+    """
+    rows = items.withColumn("c", K.canonical_udf(ceiling)("text"))
     two = F.array(
-        F.struct(F.lit(V.RAW).alias("condition"), F.col("text").alias("seen")),
-        F.struct(F.lit(V.CANONICAL).alias("condition"), canonical(F.col("text")).alias("seen")),
+        F.struct(F.lit(V.RAW).alias("condition"), F.col("text").alias("seen"), F.lit(None).cast("int").alias("max_depth_reached"), F.lit(None).cast("boolean").alias("ceiling_hit")),
+        F.struct(F.lit(V.CANONICAL).alias("condition"), F.col("c.text").alias("seen"), F.col("c.max_depth_reached").alias("max_depth_reached"), F.col("c.ceiling_hit").alias("ceiling_hit")),
     )
-    return items.withColumn("c", F.explode(two)).select("*", "c.condition", "c.seen").drop("c")
+    return rows.withColumn("c", F.explode(two)).select("*", "c.*").drop("c")
 
 
 def demanded(items: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -42,17 +47,13 @@ def demanded(items: DataFrame, baselines: DataFrame) -> DataFrame:
     return items.select("item_id").crossJoin(F.broadcast(baselines.select("baseline_key"))).withColumn("condition", both)
 
 
-def score_items(items: DataFrame, baselines: DataFrame, canonical: Callable[[Column], Column] = T.kernel) -> DataFrame:
+def score_items(items: DataFrame, baselines: DataFrame, ceiling: int = V.CEILING) -> DataFrame:
     """P3 with the digest scorer: one row of scores per item, baseline and condition."""
-    rows = conditioned(items, canonical).crossJoin(F.broadcast(baselines))
-    deep = F.size(F.filter(F.split("chain", r"\+"), lambda x: x.isin(*V.DECODED_LINKS)))
-    here = F.col("condition") == V.CANONICAL
+    rows = conditioned(items, ceiling).crossJoin(F.broadcast(baselines))
     return rows.select(
         "item_id", "family", "benign_class", "label", "baseline_key", "condition",
         digest_score(F.col("baseline_key"), F.col("seen")).alias("p_injection"),
-        (1 + F.floor(F.length("seen") / F.col("window"))).cast("int").alias("n_windows"),
-        F.when(here, F.least(deep, F.lit(V.CEILING))).alias("max_depth_reached"),
-        F.when(here, deep > V.CEILING).alias("ceiling_hit"),
+        (1 + F.floor(F.length("seen") / F.col("window"))).cast("int").alias("n_windows"), "max_depth_reached", "ceiling_hit",
     )
 
 

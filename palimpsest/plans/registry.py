@@ -25,6 +25,7 @@ from palimpsest.operators import scoring as M
 from palimpsest.plans import sql as Q
 from palimpsest.sources import files as W
 from palimpsest.sources import tables as I
+from palimpsest.sources.shared import Tables, materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -64,9 +65,10 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Payloads are few and each becomes many rows, so they are not left in the few tasks that their size asks for.
+    # A payload becomes 13 rows of up to three times its length, so payloads are not left in the few tasks that their
+    # own size asks for: they are dealt once more by a key that the grouping before is not dealt by.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return P.render(I.payloads(spark, sf_dir).repartition(tasks, "text"))
+    return P.render(I.payloads(spark, sf_dir).repartition(tasks, F.xxhash64("text")))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +79,13 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.keyed(_scores(spark, sf_dir), M.baseline_table(spark))
 
 
-def _shared(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/palimpsest').rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _cut(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, where many producers read it."""
-    path = f"{_shared(df.sparkSession)}/{tag}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _cells_of(keyed: DataFrame) -> DataFrame:
+    with Tables(keyed.sparkSession) as held:
+        return materialize(C.cells(held.cut(keyed, "keyed")), "cells")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut(C.cells(_cut(_keyed(spark, sf_dir), "keyed")), "cells")
+    return _cells_of(_keyed(spark, sf_dir))
 
 
 # --- text kernel and canonicalizer -----------------------------------------------------------------
@@ -106,32 +100,28 @@ def _(spark, sf):
     return _docs(spark, sf).select("doc_id", T.digest(T.kernel(D.homoglyph(F.col("text")))).alias("digest"))
 
 
-_RUNS = "r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=]+')) AS run FROM documents), w AS (SELECT DISTINCT run FROM r WHERE length(run) >= 12)"
+_RUNS = "r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=]+')) AS run FROM documents), w AS (SELECT DISTINCT run FROM r)"
 
 
 @query("can04_entropy", f"WITH {_RUNS} SELECT run, round((SELECT entropy(c) FROM (SELECT unnest(string_split(run, '')) AS c)), 9) + 0.0 AS bits FROM w")
 def _(spark, sf):
-    runs = _docs(spark, sf).select(F.explode(T.maximal_runs(F.col("text"), "base64")).alias("run")).where(F.length("run") >= 12).distinct()
+    runs = _docs(spark, sf).select(F.explode(F.array_distinct(T.maximal_runs(F.col("text"), "base64"))).alias("run")).distinct()
     return runs.select("run", T.entropy(F.col("run")).alias("bits"))
 
 
 @query("can05_candidates", f"""WITH {_RUNS}, e AS (SELECT run, (SELECT entropy(c) FROM (SELECT unnest(string_split(run, '')) AS c)) AS bits FROM w)
 SELECT run, regexp_full_match(run, '[0-9A-Fa-f]+') AND length(run) >= 16 AND bits >= 2.5 AS hex, length(run) >= 24 AND bits >= 3.0 AS base64 FROM e""")
 def _(spark, sf):
-    runs = _docs(spark, sf).select(F.explode(T.maximal_runs(F.col("text"), "base64")).alias("run")).where(F.length("run") >= 12).distinct()
+    runs = _docs(spark, sf).select(F.explode(F.array_distinct(T.maximal_runs(F.col("text"), "base64"))).alias("run")).distinct()
     return runs.select("run", T.is_candidate(F.col("run"), "hex").alias("hex"), T.is_candidate(F.col("run"), "base64").alias("base64"))
 
 
-@query("can06_decode_strict", """SELECT doc_id, sha256(text) AS from_hex, sha256(text) AS from_base64 FROM documents WHERE length(text) >= 100""")
-def _(spark, sf):
-    rows = _docs(spark, sf).where(F.length("text") >= 100)
-    back = lambda link, enc: T.digest(T.decoded(link(F.col("text")), enc))
-    return rows.select("doc_id", back(D.to_hex, "hex").alias("from_hex"), back(D.to_base64, "base64").alias("from_base64"))
+_ENCODED = {e: Q.dress("text", (e,)) for e in ("hex", "base64")}
 
 
-@query("can06_decode_strict_all")
+@query("can06_decode_strict", "SELECT doc_id, " + ", ".join(f"CASE WHEN {Q.candidate(t, e)} THEN sha256(text) END AS from_{e}" for e, t in _ENCODED.items()) + " FROM documents")
 def _(spark, sf):
-    """All texts: null where the decoder declines an encoding by length or entropy."""
+    """Null where the decoder declines an encoding by length or entropy."""
     back = lambda link, enc: T.digest(T.decoded(link(F.col("text")), enc))
     return _spread(_docs(spark, sf)).select("doc_id", back(D.to_hex, "hex").alias("from_hex"), back(D.to_base64, "base64").alias("from_base64"))
 
@@ -141,9 +131,14 @@ def _(spark, sf):
     return _docs(spark, sf).select("doc_id", *[F.size(T.maximal_runs(F.col("text"), e)).cast("long").alias(n) for e, n in (("base64", "wide"), ("hex", "hexes"))])
 
 
-@query("can03_nfkc_stage", "SELECT doc_id, sha256(text) AS digest, CAST(0 AS BIGINT) AS edits FROM documents")
+#: What NFKC takes back: full-width vowels and a space that doesn't break.
+_WIDE = ("aeiou ", "\uff41\uff45\uff49\uff4f\uff55\u00a0")
+
+
+@query("can03_nfkc_stage", f"SELECT doc_id, sha256(text) AS digest, CAST(len(regexp_extract_all(text, '[{_WIDE[0]}]+')) AS BIGINT) AS edits FROM documents")
 def _(spark, sf):
-    out = _spread(_docs(spark, sf)).select("doc_id", K.stage_udf("nfkc")("text").alias("r"))
+    """Texts whose vowels are full-width and whose spaces don't break; each run of them is one edit."""
+    out = _spread(_docs(spark, sf)).select("doc_id", K.stage_udf("nfkc")(F.translate("text", *_WIDE)).alias("r"))
     return out.select("doc_id", T.digest(F.col("r.text")).alias("digest"), F.size("r.edits").cast("long").alias("edits"))
 
 
@@ -153,33 +148,24 @@ def _(spark, sf):
     return out.select("doc_id", T.digest(F.col("r.text")).alias("digest"), F.size("r.edits").cast("long").alias("edits"))
 
 
-@query("can12_canonical_text")
+@query("can12_canonical_text", f"WITH {Q.canonical_of('SELECT doc_id, text AS t FROM documents')} SELECT doc_id, sha256(t) AS digest, hit AS ceiling_hit, depth AS max_depth_reached FROM c")
 def _(spark, sf):
     out = _spread(_docs(spark, sf)).select("doc_id", K.canonical_udf()("text").alias("c"))
     return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", "c.max_depth_reached")
 
 
-@query("can12_canonical_of_dressed", f"SELECT doc_id, sha256(text) AS digest, false AS ceiling_hit, 1 AS depth FROM documents WHERE length(text) >= 100 AND NOT regexp_matches(text, '[A-Za-z0-9+/=]{{24}}|[0-9A-Fa-f]{{16}}')")
-def _(spark, sf):
-    rows = _docs(spark, sf).where((F.length("text") >= 100) & ~F.col("text").rlike("[A-Za-z0-9+/=]{24}|[0-9A-Fa-f]{16}"))
-    out = rows.select("doc_id", K.canonical_udf()(D.to_base64(F.col("text"))).alias("c"))
-    return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
-
-
-@query("can12_canonical_of_dressed_all")
+@query("can12_canonical_of_dressed", f"WITH {Q.canonical_of('SELECT doc_id, base64(encode(text)) AS t FROM documents')} SELECT doc_id, sha256(t) AS digest, hit AS ceiling_hit, depth FROM c")
 def _(spark, sf):
-    """All texts, nested candidates included, in base64."""
+    """All texts in base64, nested candidates included."""
     out = _spread(_docs(spark, sf)).select("doc_id", K.canonical_udf()(D.to_base64(F.col("text"))).alias("c"))
     return out.select("doc_id", T.digest(F.col("c.text")).alias("digest"), "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
 
 
-@query("can12_ceiling", "SELECT doc_id, true AS ceiling_hit, 3 AS depth FROM documents WHERE length(text) >= 100")
-def _(spark, sf):
-    out = _docs(spark, sf).where(F.length("text") >= 100).select("doc_id", K.canonical_udf()(D.dress(F.col("text"), ("base64",) * 4)).alias("c"))
-    return out.select("doc_id", "c.ceiling_hit", F.col("c.max_depth_reached").alias("depth"))
+_NESTED = ", ".join(f"{Q.dress(f't{k}', ('base64',))} AS t{k + 1}, {Q.candidate(f't{k + 1}', 'base64')} AS ok{k + 1}" for k in range(4))
 
 
-@query("can12_ceiling_all")
+@query("can12_ceiling", f"""SELECT doc_id, ok1 AND ok2 AND ok3 AND ok4 AS ceiling_hit, CASE WHEN NOT ok4 THEN 0 WHEN NOT ok3 THEN 1 WHEN NOT ok2 THEN 2 ELSE 3 END AS depth
+FROM (SELECT doc_id, text AS t0, {_NESTED} FROM documents)""")
 def _(spark, sf):
     """All texts, in base64 four times: those that the decoder declines at a level stop there."""
     out = _spread(_docs(spark, sf)).select("doc_id", K.canonical_udf()(D.dress(F.col("text"), ("base64",) * 4)).alias("c"))
@@ -238,31 +224,38 @@ def _(spark, sf):
     return P.chain_table(spark).drop("links")
 
 
-@query("drs17_declined")
-def _(spark, sf):
-    """Payloads of conversations that the decoder declines, by chain and the first declined link."""
-    rows = I.chat(spark, sf)
-    each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.declined(F.col("text"), c).alias("link")) for c in V.BOUND_CHAINS])
-    return rows.select(T.payload_id(F.col("text")).alias("payload_id"), F.explode(each).alias("d")).where("d.link IS NOT NULL").select("payload_id", "d.chain", "d.link")
+def _every_text(spark, sf):
+    """Distinct non-empty texts of documents and of user turns: payloads of every length."""
+    return _docs(spark, sf).where("text <> ''").select("text").union(I.chat(spark, sf)).distinct()
 
 
-@query("drs18_round_trip", f"WITH p AS (SELECT DISTINCT text FROM conversations WHERE role = 'user' AND length(text) >= 60), c(chain) AS (VALUES {', '.join(f'({Q.text(D.chain_name(c))})' for c in V.BOUND_CHAINS)}) SELECT chain, count(*) AS n, CAST(0 AS BIGINT) AS differ FROM p, c GROUP BY chain")
+_EVERY_TEXT = "p AS (SELECT DISTINCT text FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations WHERE role = 'user') WHERE text <> '')"
+
+
+def _declined_sql(chain: tuple[str, ...]) -> str:
+    """The number of the first link of ``chain`` that declines ``text``, or null."""
+    cases = " ".join(f"WHEN NOT {Q.candidate(Q.dress('text', chain[:k]), link)} THEN {k}" for k, link in enumerate(chain, 1) if link in V.DECODED_LINKS)
+    return f"CASE {cases} END" if cases else "CAST(NULL AS INTEGER)"
+
+
+_DECLINED = " UNION ALL ".join(f"SELECT left(sha256(text), 16) AS payload_id, '{D.chain_name(c)}' AS chain, {_declined_sql(c)} AS link FROM p" for c in V.BOUND_CHAINS)
+
+
+@query("drs17_declined", f"WITH {_EVERY_TEXT} SELECT * FROM ({_DECLINED}) WHERE link IS NOT NULL")
 def _(spark, sf):
-    """At a ceiling of 12, canonicalizing a dressed payload gives the canonical payload."""
-    udf = K.canonical_udf(12)
-    rows = I.chat(spark, sf).where(F.length("text") >= 60).select(udf("text")["text"].alias("plain"), "text")
-    each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.dress(F.col("text"), c).alias("dressed")) for c in V.BOUND_CHAINS])
-    out = rows.select("plain", F.explode(each).alias("d")).select("plain", "d.chain", udf("d.dressed")["text"].alias("again"))
-    return out.groupBy("chain").agg(F.count("*").alias("n"), F.count_if(F.col("plain") != F.col("again")).alias("differ"))
+    """Payloads that the decoder declines, by chain and the first declined link."""
+    rows = _every_text(spark, sf)
+    each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.declined(F.col("text"), c).alias("link")) for c in V.BOUND_CHAINS])
+    return rows.select(T.payload_id(F.col("text")).alias("payload_id"), F.explode(each).alias("d")).where("d.link IS NOT NULL").select("payload_id", "d.chain", "d.link")
 
 
-@query("drs18_round_trip_all")
+@query("drs18_round_trip", f"WITH {_EVERY_TEXT} SELECT chain, count(*) AS n, count(link) AS declined, CAST(0 AS BIGINT) AS ceiling, CAST(0 AS BIGINT) AS differ FROM ({_DECLINED}) GROUP BY chain")
 def _(spark, sf):
     """All payloads, at a ceiling of 12, by chain: those whose encoding the decoder declines, and of the others those that
     reach the ceiling, plain or dressed, and those whose canonical text differs."""
     udf = K.canonical_udf(12)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = I.chat(spark, sf).repartition(tasks, "text").select(udf("text").alias("plain"), "text")
+    rows = _every_text(spark, sf).repartition(tasks, F.xxhash64("text")).select(udf("text").alias("plain"), "text")
     each = F.array(*[F.struct(F.lit(D.chain_name(c)).alias("chain"), D.dress(F.col("text"), c).alias("dressed"), D.declined(F.col("text"), c).isNotNull().alias("declined")) for c in V.BOUND_CHAINS])
     out = rows.select("plain", F.explode(each).alias("d")).select("plain", "d.chain", "d.declined", udf("d.dressed").alias("again"))
     ceiling = F.col("plain.ceiling_hit") | F.col("again.ceiling_hit")
@@ -503,24 +496,32 @@ def _(spark, sf):
 
 
 _JOIN08 = f"""n AS (SELECT doc_id AS id, {Q.norm('text')} AS norm, list_filter(string_split({Q.norm('text')}, ' '), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT item_id AS payload_id, {Q.norm('text')} AS norm, list_filter(string_split({Q.norm('text')}, ' '), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT item_id AS payload_id, {Q.norm('text')} AS norm, list_filter(string_split({Q.norm('text')}, ' '), lambda x: x <> '') AS w FROM benchmark),
+p AS (FROM b UNION ALL SELECT -1 - payload_id, array_to_string(w[1:3], ' '), w[1:3] FROM b),
 ds AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM n WHERE len(w) >= 5),
 ps AS (SELECT payload_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM p WHERE len(w) >= 5),
 need AS (SELECT payload_id, count(*) AS need FROM ps GROUP BY 1),
-near AS (SELECT id, payload_id, count(*) / CAST(max(need) AS DOUBLE) AS score FROM ds JOIN ps USING (s) JOIN need USING (payload_id) GROUP BY id, payload_id HAVING count(*) / CAST(max(need) AS DOUBLE) >= 0.85)
+shared AS (SELECT id, payload_id, count(*) / CAST(max(need) AS DOUBLE) AS score FROM ds JOIN ps USING (s) JOIN need USING (payload_id) GROUP BY id, payload_id HAVING count(*) / CAST(max(need) AS DOUBLE) >= 0.85),
+near AS (FROM shared UNION ALL SELECT id, payload_id, NULL FROM n JOIN p ON len(p.w) BETWEEN 1 AND 4 AND contains(' ' || n.norm || ' ', ' ' || p.norm || ' '))
 """
 
 
-@query("join08_crosscheck", f"WITH {_JOIN08} SELECT id, payload_id, round(score, 9) + 0.0 AS score, CASE WHEN score = 1 AND contains(' ' || n.norm || ' ', ' ' || p.norm || ' ') THEN 'contains' ELSE 'shingles' END AS kind FROM near JOIN n USING (id) JOIN p USING (payload_id)")
-def _(spark, sf):
+def _near(spark, sf):
+    """Documents against the benchmark's texts and, as short payloads, the first three words of each."""
     sources = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    return P.similar(sources, I.table(spark, sf, "benchmark").select(F.col("item_id").alias("payload_id"), "text"))
+    whole = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("payload_id"), "text")
+    short = whole.select((-1 - F.col("payload_id")).alias("payload_id"), F.array_join(F.slice(T.tokens(T.normalized("text")), 1, 3), " ").alias("text"))
+    return P.similar(sources, whole.union(short))
+
+
+@query("join08_crosscheck", f"WITH {_JOIN08} SELECT id, payload_id, round(score, 9) + 0.0 AS score, CASE WHEN coalesce(score, 1) = 1 AND contains(' ' || n.norm || ' ', ' ' || p.norm || ' ') THEN 'contains' ELSE 'shingles' END AS kind FROM near JOIN n USING (id) JOIN p USING (payload_id)")
+def _(spark, sf):
+    return _near(spark, sf)
 
 
 @query("gat01_cross_check_report", f"WITH {_JOIN08} SELECT count(*) AS collisions, count(DISTINCT id) AS sources, count(DISTINCT payload_id) AS payloads FROM near")
 def _(spark, sf):
-    sources = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    found = P.similar(sources, I.table(spark, sf, "benchmark").select(F.col("item_id").alias("payload_id"), "text"))
+    found = _near(spark, sf)
     return found.agg(F.count("*").alias("collisions"), F.countDistinct("id").alias("sources"), F.countDistinct("payload_id").alias("payloads"))
 
 
@@ -563,7 +564,7 @@ def _(spark, sf):
 @query("snk05_src02_scores_file", f"WITH {Q.SCORES} SELECT {_SCORE_COLUMNS} FROM scores")
 def _(spark, sf):
     """Scores written as JSON lines in a total order, and read back strictly."""
-    path = f"{_shared(spark)}/scores"
+    path = new_path(spark, "scores")
     W.write_json_lines(_scores(spark, sf), path, *M.KEY)
     return W.read_scores(spark, path)
 
@@ -658,11 +659,10 @@ def _(spark, sf):
     return C.census_problems(_keyed(spark, sf))
 
 
-@query("agg06_edit_census")
+@query("agg06_edit_census", Q.cells_of("edits"))
 def _(spark, sf):
-    items = _cut(_items(spark, sf), "items")
-    traces = items.select("item_id", F.array_distinct(F.transform(K.traced_udf()("text")["edits"], lambda e: e["stage"])).alias("stages"))
-    return C.edit_census_cells(C.keyed(M.score_items(items, M.baseline_table(spark)), M.baseline_table(spark)), traces)
+    items = materialize(_items(spark, sf).withColumn("stages", K.canonical_udf()("text")["stages"]), "items")
+    return C.edit_census_cells(C.keyed(M.score_items(items, M.baseline_table(spark)), M.baseline_table(spark)), items.select("item_id", "stages"))
 
 
 @query("agg07_join06_auc", Q.cells_of("auc"))
@@ -672,7 +672,7 @@ def _(spark, sf):
 
 @query("agg08_join07_auc_delta", Q.cells_of("auc_delta"))
 def _(spark, sf):
-    return C.auc_delta_cells(_cut(_keyed(spark, sf), "keyed"))
+    return C.auc_delta_cells(materialize(_keyed(spark, sf), "keyed"))
 
 
 @query("agg13_join03_canon_delta", Q.cells_of("canon"))
@@ -692,7 +692,7 @@ def _(spark, sf):
 
 @query("join05_chain_delta", Q.cells_of("chain"))
 def _(spark, sf):
-    return C.chain_delta_cells(_cut(_keyed(spark, sf), "keyed"))
+    return C.chain_delta_cells(materialize(_keyed(spark, sf), "keyed"))
 
 
 @query("agg21_cells", f"WITH {Q.CELLS} {Q.rounded('SELECT * FROM cells')}")
@@ -863,12 +863,18 @@ def _(spark, sf):
     return R.back_to_clean(C.rate_cells(_keyed(spark, sf)))
 
 
-@query("join20_anchors", f"""WITH {Q.FINDINGS}, f AS (SELECT *, row_number() OVER () AS id FROM fnd)
-SELECT finding, f.baseline_key, f.chain, f.benign_class, f.family, f.canon_on, count(c.kind) AS anchors FROM f LEFT JOIN cells c ON c.kind IN ('rate', 'auc', 'delta') AND f.baseline_key = c.baseline_key
-  AND f.chain IS NOT DISTINCT FROM c.chain AND f.benign_class IS NOT DISTINCT FROM c.benign_class AND f.family IS NOT DISTINCT FROM c.family GROUP BY f.id, finding, f.baseline_key, f.chain, f.benign_class, f.family, f.canon_on""")
+def _named_sql() -> str:
+    """Each finding's coordinates, as rows of operators.report.NAMED."""
+    shown = lambda v: "CAST(NULL AS VARCHAR)" if v is None else str(v).lower() if isinstance(v, bool) else "'attacks_vs_' || benign_class" if v == "attacks_vs_" else f"'{v}'"
+    rows = [f"SELECT finding, baseline_key AS f_baseline, chain AS f_chain, " + ", ".join(f"{shown(g[c]) if c in g else c} AS {c}" for c in R.COORDINATE) + f" FROM fnd WHERE finding = '{k}'" for k, given in R.NAMED.items() for g in given]
+    return " UNION ALL ".join(rows)
+
+
+@query("join20_anchors", f"""WITH {Q.FINDINGS}, named AS ({_named_sql()}), there AS (SELECT {', '.join(R.COORDINATE)}, count(*) AS cells FROM cells GROUP BY ALL)
+SELECT finding, {', '.join(f'n.{c}' for c in R.COORDINATE)}, coalesce(cells, 0) AS cells FROM named n LEFT JOIN there t ON {' AND '.join(f'n.{c} IS NOT DISTINCT FROM t.{c}' for c in R.COORDINATE)}""")
 def _(spark, sf):
     cells = _cells(spark, sf)
-    return R.anchored(N.findings(cells), cells).select("finding", "baseline_key", "chain", "benign_class", "family", "canon_on", "anchors")
+    return R.anchored(N.findings(cells), cells).select("finding", "key.*", "cells")
 
 
 @query("snk08_join09_credits", f"WITH {Q.ITEMS}, s AS (SELECT source, CASE WHEN source IS NOT NULL THEN 'open' END AS licence FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT 'nowhere', 'open') SELECT source, licence, coalesce(rows, 0) AS rows FROM (SELECT source, count(*) AS rows FROM items GROUP BY 1) FULL JOIN s USING (source)")
@@ -884,7 +890,7 @@ def _(spark, sf):
     """Documents as a stream through the canonicalizer and the classifier, to its end."""
     from palimpsest.streaming import canon_stream as Z
 
-    at = _shared(spark)
+    at = new_path(spark, "stream")
     # A stream reads a folder: the table is copied into one, so one large file or many do alike.
     _docs(spark, sf).select("doc_id", "text").write.parquet(f"{at}/in")
     stream = Z.canonical_stream(Z.read_text_stream(spark, f"{at}/in", "doc_id long, text string"), "doc_id", "digest-a", 0.5)

@@ -73,31 +73,89 @@ def _item(chain: tuple[str, ...]) -> str:
 
 ITEMS = PAYLOADS + ",\nitems AS (" + "\nUNION ALL ".join(_item(c) for c in V.CHAINS) + ")"
 
+
+def candidate(t: str, encoding: str) -> str:
+    """Whether a run of an encoding's alphabet is long and uneven enough for the decoder."""
+    least, floor = (V.HEX_CHARS, V.HEX_ENTROPY) if encoding == "hex" else (V.BASE64_CHARS, V.BASE64_ENTROPY)
+    return f"(length({t}) >= {least} AND list_entropy(string_split({t}, '')) >= {floor})"
+
+
+#: Where the decoder reports a span, accepted or not.
+SPAN = "[A-Za-z0-9+/=]{24}|[0-9A-Fa-f]{16}"
+
+
+def _peeled(chain: tuple[str, ...], k: int, depth: int) -> tuple[str, str, str]:
+    """What the canonicalizer leaves of t{k}, the text after k links, with its depth and ceiling flag.
+
+    This holds for texts that are NFKC-stable and hold no run that decodes; then no encoded form but a whole one does.
+    """
+    if k == 0 or chain[k - 1] in D.HELD_OUT_DRESSINGS:
+        return kernel(f"t{k}"), str(depth), "false"
+    if chain[k - 1] not in V.DECODED_LINKS:
+        return _peeled(chain, k - 1, depth)
+    if depth == V.CEILING:
+        return f"t{k}", str(depth), f"ok{k}"
+    inner = _peeled(chain, k - 1, depth + 1)
+    return tuple(f"CASE WHEN ok{k} THEN {x} ELSE {y} END" for x, y in zip(inner, (f"t{k}", depth, "false"), strict=True))
+
+
+def _canonical(chain: tuple[str, ...]) -> str:
+    steps = ["text AS t0"]
+    for k, link in enumerate(chain, 1):
+        steps.append(f"{DRESS[link](f't{k - 1}')} AS t{k}")
+        if link in V.DECODED_LINKS:
+            steps.append(f"{candidate(f't{k}', link)} AS ok{k}")
+    seen, depth, hit = _peeled(chain, len(chain), 0)
+    name, last = D.chain_name(chain), f"t{len(chain)}"
+    glyphs = f"translate({last}, {text(''.join(map(chr, V.CONFUSABLE)))}, '') <> {last}"
+    hidden = f"translate({last}, {text(V.INVISIBLE)}, '') <> {last}" + (" OR (ok2 AND length(t0) > 1)" if chain == ("zero_width", "base64") else "")
+    return f"""SELECT payload_id || '::{name}' AS item_id, payload_id, source, family, benign_class, label, '{name}' AS chain, {last} AS text, {seen} AS seen, CAST({depth} AS INTEGER) AS depth,
+      {hit} AS hit, {hidden} AS invisible, {glyphs} AS confusables, regexp_matches({kernel(last)}, '{SPAN}') AS decode FROM (SELECT *, {', '.join(steps)} FROM payloads)"""
+
+
+#: Items with their canonical text, depth, ceiling flag and the stages that edit them.
+CANONICAL = PAYLOADS + ",\nitems AS (" + "\nUNION ALL ".join(_canonical(c) for c in V.CHAINS) + ")"
+
 _BASE = "baselines(baseline_key, threshold, win) AS (VALUES " + ", ".join(f"('{k}', CAST({t} AS DOUBLE), {w})" for k, t, w in BASELINES) + ")"
-_DEEP = "len(list_filter(string_split(chain, '+'), lambda x: x IN ('base64', 'hex')))"
+
+
+def canonical_of(source: str) -> str:
+    """CTEs that canonicalize ``source`` (doc_id, t): texts of ASCII or such as are NFKC-stable without lookalikes.
+
+    A pass decodes every run that is one; ``c`` has the text after the ceiling's passes, how many changed it, and
+    whether one more would.  A run that joins a decoded text to its host is not told apart from other runs.
+    """
+    run = {
+        "hex": "regexp_full_match(s, '([0-9A-Fa-f]{2})+') AND " + candidate("s", "hex") + " AND TRY(decode(unhex(s))) IS NOT NULL THEN TRY(decode(unhex(s)))",
+        "base64": "regexp_full_match(s, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') AND " + candidate("s", "base64") + " AND TRY(decode(from_base64(s))) IS NOT NULL THEN TRY(decode(from_base64(s)))",
+    }
+    once = f"array_to_string(list_transform(regexp_extract_all(t, '[A-Za-z0-9+/=]+|[^A-Za-z0-9+/=]+'), lambda s: CASE WHEN length(s) < {V.HEX_CHARS} THEN s WHEN {run['hex']} WHEN {run['base64']} ELSE s END), '')"
+    steps = [f"p0 AS ({source})"] + [f"p{k + 1} AS MATERIALIZED (SELECT doc_id, t AS was, {once} AS t FROM p{k})" for k in range(V.CEILING + 1)]
+    changed = " + ".join(f"CAST(p{k}.t <> p{k}.was AS INTEGER)" for k in range(1, V.CEILING + 1))
+    joins = " ".join(f"JOIN p{k} USING (doc_id)" for k in range(2, V.CEILING + 2))
+    return ", ".join(steps) + f", c AS (SELECT doc_id, p{V.CEILING}.t AS t, {changed} AS depth, p{V.CEILING + 1}.t <> p{V.CEILING + 1}.was AS hit FROM p1 {joins})"
 
 
 def digest_score(key: str, t: str) -> str:
     return f"CAST('0x' || left(sha256({key} || chr(31) || {t}), 13) AS BIGINT) / 4503599627370496.0"
 
 
-SCORES = f"""{ITEMS},
+SCORES = f"""{CANONICAL},
 {_BASE},
 conditioned AS (
-  SELECT *, 'raw' AS condition, text AS seen FROM items
-  UNION ALL SELECT *, 'canonical', {kernel("text")} FROM items),
+  SELECT * REPLACE (text AS seen, NULL AS depth, NULL AS hit), 'raw' AS condition FROM items
+  UNION ALL SELECT *, 'canonical' FROM items),
 scores AS (
   SELECT item_id, family, benign_class, label, baseline_key, condition, {digest_score("baseline_key", "seen")} AS p_injection,
-         CAST(1 + length(seen) // win AS INTEGER) AS n_windows,
-         CASE WHEN condition = 'canonical' THEN CAST(least({_DEEP}, {V.CEILING}) AS INTEGER) END AS max_depth_reached,
-         CASE WHEN condition = 'canonical' THEN {_DEEP} > {V.CEILING} END AS ceiling_hit, chain, payload_id
+         CAST(1 + length(seen) // win AS INTEGER) AS n_windows, CAST(depth AS INTEGER) AS max_depth_reached, CAST(hit AS BOOLEAN) AS ceiling_hit, chain, payload_id,
+         invisible, confusables, decode
   FROM conditioned, baselines)"""
 
 _HELD = ", ".join(f"'{D.chain_name(c)}'" for c in V.HELD_OUT_CHAINS)
 KEYED = f"""{SCORES},
 kd AS (
   SELECT s.baseline_key, chain, CASE WHEN chain IN ({_HELD}) THEN 'held_out' ELSE 'bound' END AS chain_class, condition = 'canonical' AS canon_on,
-         family, benign_class, payload_id, item_id, p_injection, p_injection >= threshold AS detected, n_windows, ceiling_hit
+         family, benign_class, payload_id, item_id, p_injection, p_injection >= threshold AS detected, n_windows, ceiling_hit, invisible, confusables, decode
   FROM scores s JOIN baselines b USING (baseline_key))"""
 
 AXES = "baseline_key, chain, chain_class, canon_on, family, benign_class"
@@ -155,6 +213,13 @@ def _census() -> str:
     return cell(by, "count", **_AX, census="census", k="k", n="n")
 
 
+def _edits() -> str:
+    """Documents that each stage edited; the tables' texts are NFKC-stable, so that stage edits none."""
+    each = {"invisible": "invisible", "confusables": "confusables", "nfkc": "false", "decode": "decode"}
+    by = "\nUNION ALL ".join(f"SELECT {AXES}, 'edits:{k}' AS census, count(*) FILTER ({c}) AS k, count(*) AS n FROM kd WHERE canon_on GROUP BY ALL" for k, c in each.items())
+    return cell(by, "count", **_AX, census="census", k="k", n="n")
+
+
 #: Structural components by comparing every score with every other score's count, cell by cell.
 COMPONENTS = """
 sides AS (
@@ -215,6 +280,8 @@ def _chain_delta() -> str:
 PARTS = {"rate": _rate(), "census": _census(), "auc": _auc(), "canon": _canon_delta(False), "chain": _chain_delta(), "auc_delta": _auc_delta(), "single": _canon_delta(True)}
 CELLS = f"{KEYED},{COMPONENTS},\ncells AS (" + "\nUNION ALL ".join(PARTS.values()) + ")"
 
+PARTS["edits"] = _edits()  # not of CELLS: it needs traces
+
 
 def cells_of(part: str) -> str:
     """SQL of one producer's cells, rounded."""

@@ -29,6 +29,11 @@ class InputRefused(ValueError):
         self.problems = problems
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_items(spark: SparkSession, path: str, expected_rows: int | None = None) -> DataFrame:
     """SRC-01: corpus rows, refused if they break the schema's rules or aren't as many as declared."""
     df = spark.read.schema(ITEM_SCHEMA).option("mode", "FAILFAST").json(path)
@@ -54,12 +59,17 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-03: item and stages; an unknown stage is refused.  Of a repeated item one row stays."""
-    df = spark.read.schema(TRACE_SCHEMA).option("mode", "FAILFAST").json(path)
+    """SRC-03: item and stages; an unknown stage is refused, a missing file has no traces.
+
+    Of a repeated item the last line stays: by file, place of the block in it, and place in the block.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], TRACE_SCHEMA)
+    df = spark.read.schema(TRACE_SCHEMA).option("mode", "FAILFAST").json(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
     odd = df.select(F.explode(F.array_except("stages", F.array(*map(F.lit, V.TRACE_LABELS)))).alias("stage")).distinct().limit(5).collect()
     if odd:
         raise InputRefused([f"unknown stage {r['stage']}" for r in odd])
-    return df.groupBy("item_id").agg(F.max("stages").alias("stages"))
+    return df.groupBy("item_id").agg(F.max_by("stages", "at").alias("stages"))
 
 
 def read_shard(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:

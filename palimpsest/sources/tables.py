@@ -35,8 +35,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = of(rows.where("label = 1"), V.ATTACK, None, 1).union(of(rows.where("label = 0"), V.BENIGN, "b_code", 0))
     every = every.union(of(chat(spark, sf_dir).withColumn("source", F.lit("conversations")), V.BENIGN, "b_chat", 0))
     kind = F.coalesce("benign_class", F.lit(""))
-    by = every.groupBy("text").agg(*[F.min(c).alias(c) for c in ("family", "benign_class", "label", "source")], F.min(kind).alias("__a"), F.max(kind).alias("__b"))
-    return by.where("__a = __b").drop("__a", "__b")
+    # Rows meet by digest; the text of a group is carried, not compared.
+    by = every.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(
+        F.any_value("text").alias("text"), *[F.min(c).alias(c) for c in ("family", "benign_class", "label", "source")], F.min(kind).alias("__a"), F.max(kind).alias("__b")
+    )
+    return by.where("__a = __b").drop("digest", "__a", "__b")
 
 
 def exclusion_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

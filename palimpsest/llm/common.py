@@ -1,57 +1,18 @@
-"""What the corpus operators share: tables cut from their lineage, and text rules.
-
-Intermediate results that are read more than once are written as Parquet below
-``spark.checkpoint.dir``, the folder that the driver and all executors share.  A lost executor then
-costs only the tasks that it ran; nothing is kept on one machine's disk.
-"""
+"""What the corpus operators share: text rules, and tables cut from their lineage (``sources.shared``)."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.shared import Tables, materialize
+
+__all__ = ["SPACE", "WORD", "Tables", "ascii_lower", "id_fold", "materialize", "table", "with_collapsed_space"]
+
 #: `[\x20\x09-\x0D]`, the white space of the contracts, and the runs of everything else.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/palimpsest/{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._palimpsest_path = path
-    return back
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_palimpsest_path", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

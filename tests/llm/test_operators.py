@@ -259,6 +259,30 @@ def test_top_k_of_large_vectors(spark):
         assert found == [(-s if -(2**63) <= -s < 2**63 else None, i) for s, i in best]
 
 
+@pytest.mark.parametrize("apart", [0.0, 3.0])
+def test_top_k_over_many_trees(spark, apart):
+    """Trees of few vectors, with many ties, on data that roots can and can't be told apart by."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(0, 1, (5, 8)) * apart
+    rows = [(i, [float(x) for x in np.round(middle[rng.integers(5)] + rng.normal(0, 0.05, 8), 2)]) for i in range(600)] + [(600 + i, [0.25] * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in topk.top_k(df, 7, lambda i: i % 5 == 0, tree_vectors=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    v = np.array([np.floor(64 * np.pad(np.array(x), (0, 8 - len(x)))) for _, x in rows])
+    for q in range(0, 660, 5):
+        score = (v @ v[q]).astype(int)
+        assert got[q] == [(int(score[i]), i) for i in sorted((i for i in range(660) if i != q), key=lambda i: (-score[i], i))[:7]]
+
+
+def test_mtree_pages_are_the_tree():
+    rng = np.random.default_rng(12)
+    v = np.floor(rng.normal(0, 20, (900, 6)))
+    one = topk.MTree(v)
+    two = topk.MTree(v, one.pages())
+    assert one.children == two.children and all((x == y).all() for x, y in zip(one.members, two.members, strict=True)) and two.pages() == one.pages()
+
+
 def test_mtree_finds_what_a_scan_finds():
     rng = np.random.default_rng(4)
     v = np.floor(rng.normal(0, 20, (3000, 16)) + 60 * rng.integers(0, 2, (3000, 1)))

@@ -1,10 +1,14 @@
 """Quality scores by positive-unlabelled learning.
 
-The classifier sees trusted positives and unlabelled web text.  With the share pi of positives in such
-text, the risk on negatives is that on all unlabelled text less pi times that on positives; as this
+The classifier sees trusted positives and unlabelled web text, and no negatives.  With the share pi of positives
+in such text, the risk on negatives is that on all unlabelled text less pi times that on positives; as this
 difference can fall below zero only by overfitting, it is held at zero (the non-negative unbiased risk).
 A logistic model on shape statistics of the whole text minimises it; its probability is the score.
 
+The share pi is estimated from the same two samples: a model is fitted to tell positives from unlabelled rows on
+one half of each, and on the other half the least ratio, over cuts of its score, of unlabelled to positive rows
+above the cut is what positives can make up of the unlabelled ones at most.
+
 Fitting uses a bounded sample: at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled rows, chosen by a
 hash of their ids.  Scoring covers every row.
 """
@@ -71,30 +75,65 @@ def _basis(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 6, np.ones((len(z), 1))], 1)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def risks(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risk on positives, and the unbiased one on negatives: log loss, a positive costs -log s, a negative -log (1 - s)."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    cost = lambda s: -np.log1p(-np.minimum(s, 1 - 1e-12)).mean()
+    return prior * -np.log(np.maximum(sp, 1e-12)).mean(), cost(su) - prior * cost(sp)
+
+
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of both risks together; where the one on negatives is below zero, the step that raises it again."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+    if risks(w, p, u, prior)[1] < 0:
+        return -negative
+    return prior * (p.T @ (sp - 1)) / len(p) + negative
+
+
+def _descend(w: np.ndarray, slope, steps: int = STEPS) -> np.ndarray:
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        grad = slope(w) + 1e-3 * np.r_[w[:-1], 0]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w = w - 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def mixture_share(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from scores of either: the ratio of those above a cut where it is surely least."""
+    cuts = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
+    p, u = above(positive), above(unlabelled)
+    doubt = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    best = np.argmin((u + doubt) / p)
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+
+
 class PuModel:
-    """Logistic model with weights fitted by non-negative positive-unlabelled risk."""
+    """Logistic model with weights fitted by non-negative positive-unlabelled risk; ``prior`` None: estimated."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None):
         every = np.concatenate([positive, unlabelled])
         self.mean, self.scale = every.mean(0), every.std(0) + 1e-6
         p, u = (_basis(x, self.mean, self.scale) for x in (positive, unlabelled))
-        self.weights = self._fit(p, u, prior)
+        self.prior = self._prior(p, u) if prior is None else prior
+        start = np.zeros(p.shape[1])
+        start[-1] = np.log(self.prior / (1 - self.prior))
+        self.weights = _descend(start, lambda w: gradient(w, p, u, self.prior))
 
     @staticmethod
-    def _fit(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
-        w = np.zeros(p.shape[1])
-        w[-1] = np.log(prior / (1 - prior))
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        for step in range(1, STEPS + 1):
-            sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-            # Log loss: a positive costs -log s, a negative -log (1 - s).
-            negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-            down = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            grad = -down if negative < 0 else prior * (p.T @ (sp - 1)) / len(p) + down
-            grad = grad + 1e-3 * np.r_[w[:-1], 0]
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            w = w - 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        return w
+    def _prior(p: np.ndarray, u: np.ndarray) -> float:
+        if min(len(p), len(u)) < 2:
+            return 0.5
+        even, odd = (p[::2], u[::2]), (p[1::2], u[1::2])
+        apart = lambda w: even[0].T @ (_sigmoid(even[0] @ w) - 1) / len(even[0]) + even[1].T @ _sigmoid(even[1] @ w) / len(even[1])
+        w = _descend(np.zeros(p.shape[1]), apart, STEPS // 2)
+        return mixture_share(odd[0] @ w, odd[1] @ w)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_basis(x, self.mean, self.scale) @ self.weights, -30, 30)))
@@ -103,20 +142,17 @@ class PuModel:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t.as_py() or "").tolist() for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(x, pa.list_(pa.float64()))], ["kind", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "kind", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> PuModel | None:
     """The model of positives (label 1) and unlabelled rows among ids that ``learn`` admits; None without either.
 
-    The class prior is the share of label 1 among the admitted labels, which are all labels counted.
+    Labels other than 1 are not learned from: they only keep their rows out of the unlabelled ones.  Each sample has
+    at most ``sample`` ids, by a hash; of an id with several rows one is learned from, that of the least statistics,
+    so at most that many rows reach the driver.  Null ids and null labels are not learned from; empty tables give None.
     """
-    admitted = labels.where(learn(id_col) & F.col(label_col).isNotNull())
-    of = admitted.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
-    tally = of.agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("good")).first()
-    if not tally["n"] or not tally["good"]:
-        return None
-    prior = min(max(tally["good"] / tally["n"], 0.02), 0.98)
+    of = labels.where(learn(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
     rows = docs.where(learn(id_col)).select(F.col(id_col).alias("doc_id"))
     order = F.xxhash64(F.lit("pu"), F.col("doc_id"))
     positive = of.where("label = 1").select("doc_id").join(rows.distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample)
@@ -124,21 +160,24 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE, id_co
     unlabelled = rows.distinct().join(marked, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample)
     chosen = positive.withColumn("kind", F.lit(1)).union(unlabelled.withColumn("kind", F.lit(0)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.select("kind", "text").mapInArrow(_featured, "kind int, x array<double>").toPandas()
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = texts.select("doc_id", "kind", "text").mapInArrow(_featured, f"doc_id {kind}, kind int, x array<double>")
+    got = found.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).select("kind", "x").toPandas()
     x, kind = np.array(got["x"].tolist()), got["kind"].to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():
         return None
     # A fixed order of rows makes sums, and so the weights, the same in every run.
     order = np.lexsort((*x.T, kind))
     x, kind = x[order], kind[order]
-    return PuModel(x[kind == 1], x[kind == 0], prior)
+    return PuModel(x[kind == 1], x[kind == 0])
 
 
 def score(docs: DataFrame, model: PuModel | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` and score: the probability of label 1 for every whole text.
 
     Null texts count as empty, and empty ones are scored like any other; without a model every score is
-    0.5.  Repeated rows are kept; an empty table gives no rows; other columns are ignored.
+    0.5.  Texts of any length are read whole; equal texts have equal scores.  Repeated rows are kept; an empty
+    table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

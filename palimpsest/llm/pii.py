@@ -4,18 +4,23 @@ Rules find e-mail addresses, IPv4 addresses, card numbers and phone numbers.  Th
 in the field they are observed labels.  Its variables are the tokens with a digit or an at sign (any
 other token is none of these kinds) with labels none, email, ip, card, phone.  Neighbouring tokens share
 a potential, and so do distant tokens of one document that are equal, or have the same mailbox name or
-the same last digits: these skip edges join each such token to the next one like it, so there are as
-many edges as tokens.  Loopy message passing carries a label from a mention that a rule finds to those
-that no rule matches; a token with skip edges whose belief in a kind is at least ``SURE`` becomes a
-further span.
-
-Weights are counted, piece by piece, on a bounded sample of documents whose rule spans serve as labels:
-each shape feature given the label, labels of neighbours, and how often equal tokens agree.
+the same last digits: skip edges join each such token to the next one like it, and to the first one like it
+that a rule has labelled, so a label reaches all mentions at once.  There are a few edges a token.  Loopy messages
+carry a label from a mention that a rule finds to those that no rule matches, until they settle; a token whose
+belief in a kind is at least ``SURE`` (``SURE_ALONE`` without a skip edge) becomes a further span.
+
+Weights are trained by piecewise conditional likelihood on all documents, with the rules' spans as labels: the
+label of a token given its shape, that of a token given its neighbour's, and that of a token given that of one
+like it, each with its own normalizer and a quadratic penalty.  A token that no rule labels but that is like one with a
+label is what the field is asked about, so it is no example of the label none.  Only counts of shapes and of pairs
+of labels leave the executors.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +33,14 @@ from palimpsest.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-#: Documents that the weights are counted on at most.
-SAMPLE = 20_000
-ROUNDS = 10
+#: Rounds of messages at most, the change below which they have settled, and how much of a message is kept.
+ROUNDS = 100
+SETTLED = 1e-4
 DAMPING = 0.3
 SURE = 0.9
+SURE_ALONE = 0.95
+#: The weight of the quadratic penalty, against mean log likelihoods.
+PENALTY = 1e-3
 FEATURES = 25
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -133,7 +141,7 @@ class Graph:
         self.near: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int, bool]] = []
         for d, text in enumerate(texts):
-            last: dict[tuple[str, str], int] = {}
+            like: dict[tuple[tuple[str, str], bool], list[int]] = {}
             by_start = sorted((a, b, k) for k, a, b in found[d])
             at, before = 0, -1
             for a, b in tokens(text):
@@ -155,10 +163,13 @@ class Graph:
                 if before >= 0 and not text[before:a].strip(_BLANKS):
                     self.near.append((node - 1, node))
                 before = b
-                for key, same in self._keys(word, digits):
-                    if (other := last.get(key)) is not None:
-                        self.skip.append((other, node, same))
-                    last[key] = node
+                for key in self._keys(word, digits):
+                    like.setdefault(key, []).append(node)
+            for (_, same), nodes in like.items():
+                self.skip += ((i, j, same) for i, j in itertools.pairwise(nodes))
+                known = next((k for k, i in enumerate(nodes) if self.seen[i]), None)
+                if known is not None:
+                    self.skip += ((nodes[known], j, same) for k, j in enumerate(nodes) if abs(k - known) > 1)
         self.shape = np.zeros((len(shapes), FEATURES), np.float64)
         for row, on in zip(self.shape, shapes, strict=True):
             row[on] = 1
@@ -174,28 +185,78 @@ class Graph:
             yield ("box", box), False
 
 
+def _maximized(value_and_slope, w: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Weights of least penalized mean cost, by momentum steps of bounded size."""
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        grad = value_and_slope(w)[1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def token_cost(w: np.ndarray, on: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean cost of labels given shapes (with a constant as the last one), penalized, and its slope; ``w``: LABELS x shapes."""
+    p = _normal(on @ w.T)
+    rows = np.arange(len(label))
+    off = p.copy()
+    off[rows, label] -= 1
+    cost = -(n * np.log(np.maximum(p[rows, label], 1e-300))).sum() / n.sum() + PENALTY / 2 * (w[:, :-1] ** 2).sum()
+    return cost, (off * n[:, None]).T @ on / n.sum() + PENALTY * np.c_[w[:, :-1], np.zeros(LABELS)]
+
+
+def pair_cost(w: np.ndarray, pairs: np.ndarray, bias: np.ndarray, forms: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean cost of each label given the other of a pair, penalized, and its slope.
+
+    ``pairs``: counts, LABELS x LABELS; ``forms``: potentials that ``w`` weighs.
+    """
+    potential = np.tensordot(w, forms, 1)
+    total = 2 * max(pairs.sum(), 1.0)
+    right, down = _normal(potential + bias[None, :]), _normal((potential + bias[:, None]).T).T
+    cost = -(pairs * (np.log(np.maximum(right, 1e-300)) + np.log(np.maximum(down, 1e-300)))).sum() / total
+    off = (right * pairs.sum(1, keepdims=True) - pairs) + (down * pairs.sum(0, keepdims=True) - pairs)
+    return cost + PENALTY / 2 * (w**2).sum(), np.tensordot(forms, off, 2) / total + PENALTY * w
+
+
 class SkipChainCrf:
-    """Log potentials from counts: ``label`` and ``shape`` of a token, ``near`` for neighbours, ``agree`` for skips."""
+    """Log potentials: ``shape`` of a token (LABELS x shapes and a constant), ``near`` of neighbours, ``agree`` of tokens that
+    are equal and of those that are alike.
 
-    def __init__(self, labels: np.ndarray, shapes: np.ndarray, near: np.ndarray, skips: np.ndarray):
-        self.label = np.log((labels + 1) / (labels.sum() + LABELS))
-        on = (shapes + 0.5) / (labels[:, None] + 1)
-        self.on, self.off = np.log(on), np.log1p(-np.minimum(on, 1 - 1e-6))
-        joint = (near + 1) / (near.sum() + LABELS**2)
-        self.near = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
-        self.agree = float(np.clip(np.log((skips[1] + 1) / (skips[0] + 1)), 1.0, 4.0))
+    Trained from counts: ``masks`` (shapes as bits), ``labels`` and ``n`` of tokens; ``near`` and ``skips`` (equal, alike) of pairs.
+    """
 
-    def beliefs(self, g: Graph) -> np.ndarray:
-        """Each node's probability of each label after loopy message passing."""
-        n = len(g.doc)
-        own = self.label + g.shape @ self.on.T + (1 - g.shape) @ self.off.T
-        seen = np.array(g.seen)
+    def __init__(self, masks: np.ndarray, labels: np.ndarray, n: np.ndarray, near: np.ndarray, skips: np.ndarray):
+        self.shape, self.near, self.agree = np.zeros((LABELS, FEATURES + 1)), np.zeros((LABELS, LABELS)), np.zeros(2)
+        if not len(masks):
+            return
+        on = np.c_[(masks[:, None] >> np.arange(FEATURES)[None, :]) & 1, np.ones(len(masks))].astype(np.float64)
+        self.shape = _maximized(lambda w: token_cost(w, on, labels, n), self.shape)
+        bias = np.log((np.bincount(labels, n, LABELS) + 1) / (n.sum() + LABELS))
+        each = np.eye(LABELS**2).reshape(-1, LABELS, LABELS)
+        self.near = _maximized(lambda w: pair_cost(w, near, bias, each), np.zeros(LABELS**2)).reshape(LABELS, LABELS)
+        self.agree = np.array([_maximized(lambda w, x=x: pair_cost(w, x, bias, np.eye(LABELS)[None]), np.zeros(1))[0] for x in skips])
+
+    def own(self, g: Graph) -> np.ndarray:
+        """Log potentials of each node alone; an observed label is certain."""
+        own = g.shape @ self.shape[:, :-1].T + self.shape[:, -1]
+        seen = np.array(g.seen, np.int64)
         own[seen > 0] = -50.0
         own[seen > 0, seen[seen > 0]] = 0.0
-        own -= own.max(1, keepdims=True)
-        pairs = [(i, j, self.near) for i, j in g.near]
-        same = np.eye(LABELS) * self.agree
-        pairs += [(i, j, same if exact else 0.75 * same) for i, j, exact in g.skip]
+        return own - own.max(1, keepdims=True)
+
+    def pairs(self, g: Graph) -> list[tuple[int, int, np.ndarray]]:
+        """Edges with their log potentials; several between the same two nodes are one, so that they are no loop."""
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for i, j in g.near:
+            found[i, j] = self.near
+        for i, j, exact in g.skip:
+            at = (min(i, j), max(i, j))
+            found[at] = found.get(at, 0.0) + np.eye(LABELS) * self.agree[0 if exact else 1]
+        return [(i, j, p) for (i, j), p in found.items()]
+
+    def beliefs(self, g: Graph) -> np.ndarray:
+        """Each node's probability of each label after loopy message passing."""
+        n, own, pairs = len(g.doc), self.own(g), self.pairs(g)
         if not pairs:
             return _normal(own)
         i, j = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
@@ -212,7 +273,11 @@ class SkipChainCrf:
             top = new.max(1, keepdims=True)
             new = np.log(np.exp(new - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
+            new = DAMPING * message + (1 - DAMPING) * new
+            moved = np.abs(new - message).max()
+            message = new
+            if moved < SETTLED:
+                break
         return _normal(own + _sums(message, target, n))
 
 
@@ -234,8 +299,8 @@ def find(texts: list[str], crf: SkipChainCrf) -> list[tuple[list[Span], list[Spa
         belief = crf.beliefs(g)
         kind = belief[:, 1:].argmax(1)
         linked = np.zeros(len(kind), bool)
-        linked[[x for i, j, _ in g.skip for x in (i, j)]] = True
-        sure = linked & (belief[np.arange(len(kind)), kind + 1] >= SURE) & (np.array(g.seen) == 0)
+        linked[[x for i, j, _ in g.skip for x in (i, j)]] = True  # tokens with a skip edge
+        sure = (belief[np.arange(len(kind)), kind + 1] >= np.where(linked, SURE, SURE_ALONE)) & (np.array(g.seen) == 0)
         for node in np.flatnonzero(sure):
             (a, b), d = g.span[node], g.doc[node]
             if b > a and all(b <= x or a >= y for _, x, y in base[d]):
@@ -243,36 +308,45 @@ def find(texts: list[str], crf: SkipChainCrf) -> list[tuple[list[Span], list[Spa
     return list(zip(base, added, strict=True))
 
 
+def counts(g: Graph) -> Iterator[tuple[int, int, int]]:
+    """(kind, key, label): kind 0 a token's shape and label; 1 neighbours, 2 equal and 3 like tokens, the key being the other label.
+
+    A token without a label that is like one with a label counts nowhere.
+    """
+    seen = g.seen
+    asked = {x for i, j, _ in g.skip for x, y in ((i, j), (j, i)) if seen[y] and not seen[x]}
+    bits = (g.shape.astype(np.int64) << np.arange(FEATURES)).sum(1).tolist()
+    yield from ((0, b, s) for k, (b, s) in enumerate(zip(bits, seen, strict=True)) if k not in asked)
+    for kind, edges in ((1, g.near), (2, [(i, j) for i, j, exact in g.skip if exact]), (3, [(i, j) for i, j, exact in g.skip if not exact])):
+        yield from ((kind, seen[i], seen[j]) for i, j in edges if i not in asked and j not in asked)
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    labels, shapes, near, skips = np.zeros(LABELS), np.zeros((LABELS, FEATURES)), np.zeros((LABELS, LABELS)), np.zeros(2)
+    found: Counter[tuple[int, int, int]] = Counter()
     for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
+        texts = [t if t and _HINT.search(t) else "" for t in b.column("text").to_pylist()]
         for i, j in in_parts(texts):
-            g = Graph(texts[i:j], [base_spans(t) for t in texts[i:j]])
-            if not g.doc:
-                continue
-            seen = np.array(g.seen)
-            labels += np.bincount(seen, minlength=LABELS)
-            for k in range(LABELS):
-                shapes[k] += g.shape[seen == k].sum(0)
-            for x, y in g.near:
-                near[seen[x], seen[y]] += 1
-            for x, y, exact in g.skip:
-                if exact and (seen[x] or seen[y]):
-                    skips[int(seen[x] == seen[y])] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([labels, shapes.ravel(), near.ravel(), skips]).tolist()], pa.list_(pa.float64()))], ["x"])
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> SkipChainCrf:
-    """The field's weights from at most ``sample`` documents, chosen by a hash of their ids; counts alone reach the driver."""
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id")).distinct()
-    chosen = ids.orderBy(F.xxhash64(F.lit("crf"), F.col("doc_id")), "doc_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text")
-    parts = rows.mapInArrow(_stats, "x array<double>").select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("x"))
-    got = {r["pos"]: r["x"] for r in parts.collect()}
-    x = np.array([got.get(k, 0.0) for k in range(LABELS + LABELS * FEATURES + LABELS**2 + 2)])
-    labels, shapes, near, skips = np.split(x, np.cumsum([LABELS, LABELS * FEATURES, LABELS**2]))
-    return SkipChainCrf(labels, shapes.reshape(LABELS, FEATURES), near.reshape(LABELS, LABELS), skips)
+            found.update(counts(Graph(texts[i:j], [base_spans(t) if t else [] for t in texts[i:j]])))
+    if found:
+        kind, key, label = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(label, pa.int32()), pa.array(list(found.values()), pa.int64())], ["kind", "key", "label", "n"])
+
+
+def train(docs: DataFrame, text_col: str = "text") -> SkipChainCrf:
+    """The field's weights from counts over all documents.
+
+    What reaches the driver is a row for each shape and pair of labels that occurs: shapes are 25 bits of few
+    combinations, so some thousands at most, whatever the number of documents.  An empty table gives weights of zero.
+    """
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_stats, "kind int, key long, label int, n long")
+    got = rows.groupBy("kind", "key", "label").agg(F.sum("n").alias("n")).orderBy("kind", "key", "label").collect()
+    pairs = np.zeros((3, LABELS, LABELS))
+    for r in got:
+        if r["kind"]:
+            pairs[r["kind"] - 1, r["key"], r["label"]] += r["n"]
+    tokens = [r for r in got if r["kind"] == 0]
+    column = lambda c, t: np.array([r[c] for r in tokens], t)
+    return SkipChainCrf(column("key", np.int64), column("label", np.int64), column("n", np.float64), pairs[0], pairs[1:])
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -281,8 +355,9 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 def find_pii(docs: DataFrame, crf: SkipChainCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, added for each row of ``docs``: arrays of (kind, start, end), in code points, end exclusive.
 
-    Null texts count as empty and have no spans.  Repeated rows and null ids are kept; an empty table
-    gives no rows; other columns are ignored.
+    Null texts count as empty and have no spans.  A text of any length is one document of the field; of labels with
+    equal beliefs the first listed counts.  Repeated rows and null ids are kept; an empty table gives no rows; other
+    columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

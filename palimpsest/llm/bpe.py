@@ -37,12 +37,28 @@ def _byte_letters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+def _unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that ``ByteBpe`` does not do."""
+    model, cut, back = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    found = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    found += [k for k, holds in (("model", model.get("type", "BPE") != "BPE"), ("normalizer", spec.get("normalizer")), ("pre-tokenizer", cut.get("type") != "ByteLevel"), ("prefix space", cut.get("add_prefix_space")), ("own pattern", not cut.get("use_regex", True)), ("decoder", back.get("type") != "ByteLevel")) if holds]
+    found += [f"added token with {k}" for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized") if t.get(k)]
+    made = {a + b: k for k, (a, b) in reversed(list(enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])))}
+    early = any(made.get(x, -1) >= k for k, m in enumerate(model["merges"]) for x in (m if isinstance(m, list) else m.split(" ")))
+    return found + ["a merge of a symbol that is made later"] * early
+
+
 class ByteBpe:
-    """A byte-level BPE vocabulary: ``encode`` texts to ids, ``decode`` ids to text."""
+    """A byte-level BPE vocabulary: ``encode`` texts to ids, ``decode`` ids to text.
+
+    ``pattern`` is what the file's byte-level pre-tokenizer cuts words by; a file with anything else is refused.
+    """
 
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if found := _unsupported(spec):
+            raise ValueError(f"{path} is not a plain byte-level BPE: {', '.join(found)}")
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = _byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
@@ -178,7 +194,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str
 
     ``tokenizer``: path of a byte-level tokenizer file that every executor has.  Null texts count as
     empty: no ids, empty text.  The strings of the file's added tokens are taken as those tokens inside
-    texts.  Repeated rows and null ids are kept; an empty table gives no rows; other columns are ignored.
+    texts.  A text of any length is one part of a batch.  Repeated rows and null ids are kept; an empty table gives
+    no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

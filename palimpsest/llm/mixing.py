@@ -88,7 +88,9 @@ def mix_sources(
     """doc_id, source, size, source_size, target, taken for each row of ``docs``.
 
     Null and empty texts have size 0 and take nothing; a null source is a source of its own, the last.
-    Repeated rows count as often as they occur.  An empty table gives no rows; other columns are ignored.
+    Repeated rows count as often as they occur.  Ties in quotients fall by rank of source and shard, ties in the seeded
+    order of documents by id and size.  A long text is one part of its shard's stream, in memory a number for each of
+    its blocks.  An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mix"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

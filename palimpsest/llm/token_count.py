@@ -41,6 +41,10 @@ class PieceCounter:
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in usual}
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("pieces with a space mark inside: texts can't be cut at spaces")
+        if sum(r == 0 and len(p) > 1 for p, r in self.rank.items()) > 1:
+            raise ValueError("pieces that users defined are never cut, which merging does not know")
+        if not all(map(sp.is_byte, sp.encode("\U0010fffd")[1:])):
+            raise ValueError("a model without byte fallback")
         self.lines_apart = not any("\n" in p and len(p) > 1 for p in self.rank)
         self.line = self._surcharge("\n") + 1
         self.parts = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -102,8 +106,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """doc_id, n_bytes, n_tokens for each row of ``docs``.
 
     ``tokenizer``: path of a piece model that every executor has.  Null texts count as empty: no bytes and
-    no tokens.  Strings like ``<s>`` inside texts are ordinary text.  Repeated rows and null ids are kept;
-    an empty table gives no rows; other columns are ignored.
+    no tokens.  Strings like ``<s>`` inside texts are ordinary text.  Of pairs of equal rank the left one
+    merges first.  Texts of any length are counted whole.  Repeated rows and null ids are kept; an empty table gives
+    no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

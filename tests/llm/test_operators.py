@@ -1,6 +1,8 @@
 """Each corpus operator on a table of odd rows, against brute force or the library that it must equal."""
 
+import copy
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -101,6 +103,23 @@ def test_near_dedup(spark, docs, empty, monkeypatch, long_list):
     assert near_dedup.near_dedup(empty).collect() == []
 
 
+def test_short_texts_are_told_apart():
+    assert near_dedup.shingle_set("a\x1fb", 3).tolist() != near_dedup.shingle_set("a b", 3).tolist()
+    assert near_dedup.shingle_set("A  b", 3).tolist() == near_dedup.shingle_set("a\tB", 3).tolist()
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_dedup_loses_no_pair_at_the_threshold(spark, threshold):
+    """Sets of which one holds the other, the hardest case for samples, just at the threshold and just below it."""
+    rng, rows = random.Random(threshold), []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(202)]
+        at = 2 + 2 * threshold
+        rows += [(4 * k, " ".join(words)), (4 * k + 1, " ".join(words[:at])), (4 * k + 2, " ".join(w + "x" for w in words)), (4 * k + 3, " ".join(w + "x" for w in words[: at - 1]))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, threshold=threshold).collect()}
+    assert got == {i: i - (i % 4 == 1) for i, _ in rows}
+
+
 def test_near_dedup_bounds_blocks_by_nodes(spark, tmp_path, monkeypatch):
     """Templated texts with one word of their own have few set elements; still no task compares too many of them at once."""
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 50, raising=False)
@@ -172,8 +191,7 @@ def test_pii_rules_equal_plain_expressions():
         assert pii.tokens(t) == [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if re.search("[0-9@]", m.group())]
 
 
-def test_pii(spark, docs, empty):
-    crf = pii.train(common.table(spark, "/root/testdata/sf0.01", "documents"))
+def test_pii(docs, empty, crf):
     got = {r.doc_id: r for r in pii.find_pii(docs, crf).collect()}
     for i, t, *_ in ROWS:
         assert [(s.kind, s.start, s.end) for s in got[i].base] == _plain_spans(t or "")
@@ -188,19 +206,86 @@ def test_pii(spark, docs, empty):
     assert pii.train(empty).near.shape == (5, 5)
 
 
-def test_pii_messages_equal_exact_marginals_on_a_chain(spark):
-    crf = pii.train(common.table(spark, "/root/testdata/sf0.01", "documents"))
-    g = pii.Graph(["12 345 a@b.c"], [pii.base_spans("12 345 a@b.c")])
-    own = crf.label + g.shape @ crf.on.T + (1 - g.shape) @ crf.off.T
-    for k, s in enumerate(g.seen):
-        if s:
-            own[k] = -50.0
-            own[k, s] = 0.0
-    own -= own.max(1, keepdims=True)
-    joint = np.exp(own[0][:, None, None] + own[1][None, :, None] + own[2][None, None, :] + crf.near[:, :, None] + crf.near[None, :, :])
-    joint /= joint.sum()
-    want = np.stack([joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))])
-    assert np.allclose(crf.beliefs(g), want, atol=1e-3)
+@pytest.fixture(scope="module")
+def crf(spark):
+    return pii.train(common.table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def _marginals(crf, g):
+    """By enumerating all labellings."""
+    own, pairs = crf.own(g), crf.pairs(g)
+    total = np.zeros_like(own)
+    for labels in itertools.product(range(pii.LABELS), repeat=len(own)):
+        weight = np.exp(sum(own[k, x] for k, x in enumerate(labels)) + sum(p[labels[i], labels[j]] for i, j, p in pairs))
+        total[np.arange(len(own)), labels] += weight
+    return total / total.sum(1, keepdims=True)
+
+
+def _graph(text):
+    return pii.Graph([text], [pii.base_spans(text)])
+
+
+def test_pii_messages_equal_enumeration(crf):
+    for text in ("12 345 a@b.c", "pay ab12345 or again ab12345 now", "id ab12345 ab12345 cd ab12345 x9", "ring 555-1055 or +49 30 5551055 then", "x"):
+        g = _graph(text)
+        if g.doc:
+            assert np.allclose(crf.beliefs(g), _marginals(crf, g), atol=2e-3)
+    # With loops messages are no longer exact, but near.
+    for text in ("id ab12345 x9 ab12345 cd ab12345 x9", "bob.jones@corp.example.com or bob.jones@intranet, bob.jones@local 77"):
+        g = _graph(text)
+        assert (crf.beliefs(g).argmax(1) == _marginals(crf, g).argmax(1)).all()
+        weak = copy.deepcopy(crf)  # the weaker the loop, the nearer
+        weak.agree, weak.near = crf.agree * 0.15, crf.near * 0.3
+        assert np.allclose(weak.beliefs(g), _marginals(weak, g), atol=0.05)
+
+
+def test_pii_labels_reach_mentions_however_many(crf):
+    text = "call +1 (523) 555-1055 now." + " later ring 555-1055 again" * 200
+    assert len(pii.find([text], crf)[0][1]) == 200
+
+
+def test_pii_weights_are_at_the_least_cost(crf):
+    rng = np.random.default_rng(2)
+    on, label, n = np.c_[rng.integers(0, 2, (30, 4)), np.ones(30)].astype(float), rng.integers(0, pii.LABELS, 30), rng.integers(1, 9, 30).astype(float)
+    w = rng.normal(size=(pii.LABELS, 5))
+    pairs, bias, forms = rng.integers(0, 9, (pii.LABELS,) * 2).astype(float), rng.normal(size=pii.LABELS), np.eye(pii.LABELS**2).reshape(-1, pii.LABELS, pii.LABELS)
+    v = rng.normal(size=pii.LABELS**2)
+    for cost, at in ((lambda x: pii.token_cost(x, on, label, n), w), (lambda x: pii.pair_cost(x, pairs, bias, forms), v)):
+        slope = cost(at)[1]
+        for _ in range(10):
+            d = rng.normal(size=at.shape)
+            assert (cost(at + 1e-5 * d)[0] - cost(at - 1e-5 * d)[0]) / 2e-5 == pytest.approx((slope * d).sum(), abs=1e-6)
+    # Brute force of a cost: mean of -log of the softmax.
+    z = on @ w.T
+    by_hand = np.mean(np.repeat([np.log(np.exp(x).sum()) - x[k] for x, k in zip(z, label)], n.astype(int))) + pii.PENALTY / 2 * (w[:, :-1] ** 2).sum()
+    assert pii.token_cost(w, on, label, n)[0] == pytest.approx(by_hand)
+    assert (crf.agree > 1).all()
+
+
+def test_quality_risk_and_its_gradient():
+    rng = np.random.default_rng(3)
+    p, u = np.c_[rng.normal(1, 1, (40, 3)), np.ones(40)], np.c_[rng.normal(0, 1, (90, 3)), np.ones(90)]
+    for w in (rng.normal(size=4) * 0.3, np.zeros(4)):
+        good, bad = quality.risks(w, p, u, 0.3)
+        s = lambda x: 1 / (1 + np.exp(-(x @ w)))
+        assert good == pytest.approx(0.3 * np.mean([-np.log(s(x)) for x in p]))
+        assert bad == pytest.approx(np.mean([-np.log(1 - s(x)) for x in u]) - 0.3 * np.mean([-np.log(1 - s(x)) for x in p]))
+        slope = quality.gradient(w, p, u, 0.3)
+        for d in np.eye(4) * 1e-6:
+            assert (sum(quality.risks(w + d, p, u, 0.3)) - sum(quality.risks(w - d, p, u, 0.3))) / 2e-6 == pytest.approx(slope @ d / 1e-6, abs=1e-5)
+    # Where the risk on negatives is below zero, a step raises it and lets the positives be.
+    w = np.array([4.0, 0, 0, 0])
+    steep = np.c_[np.full((5, 1), 3.0), np.zeros((5, 3))]
+    assert quality.risks(w, steep, u, 0.9)[1] < 0
+    assert quality.risks(w - 1e-3 * quality.gradient(w, steep, u, 0.9), steep, u, 0.9)[1] > quality.risks(w, steep, u, 0.9)[1]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.8])
+def test_quality_estimates_the_prior_without_negatives(share):
+    rng = np.random.default_rng(4)
+    positive = rng.normal(3, 1, 4000)
+    mixed = np.r_[rng.normal(3, 1, int(4000 * share)), rng.normal(0, 1, 4000 - int(4000 * share))]
+    assert quality.mixture_share(positive, mixed) == pytest.approx(share, abs=0.06)
 
 
 def test_url_filter(spark):
@@ -307,6 +392,20 @@ def test_language_id(spark, docs, empty):
     nothing = language_id.train(empty, F.lit(True))
     assert {r.lang_pred for r in language_id.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
     assert language_id.identify(empty, model, ["doc_id"]).collect() == []
+    # Every n-gram of every profile by counting, and shares by sets.
+    everything = language_id.train(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y")), F.lit(True), least_share=0.0)
+    grams = defaultdict(set)
+    for i, t, *_ in ROWS:
+        low = [c.lower() if c.isalpha() else " " for c in f" {t or ''} "]
+        grams["x" if i is not None and i % 2 == 0 else "y"] |= {"".join(low[k - 1 : k + 2]) for k in range(1, len(low) - 1) if low[k] != " "}
+    probe = ["One two ther", "mail xq zz", "日本語"]
+    assert everything.langs == ["x", "y"]
+    names, scores = everything.decide(probe)
+    for t, name, score in zip(probe, names, scores, strict=True):
+        low = [c.lower() if c.isalpha() else " " for c in f" {t} "]
+        mine = ["".join(low[k - 1 : k + 2]) for k in range(1, len(low) - 1) if low[k] != " "]
+        share = {x: np.mean([g in grams[x] for g in mine]) for x in ("x", "y")}
+        assert score == pytest.approx(max(share.values()), abs=1e-3) and share[name] == max(share.values())
     wide = language_id.LanguageFilter({f"l{k:03}": np.array([k + 1]) for k in range(70)}, "l000")
     assert wide.slices.shape[0] == 2
 
@@ -453,3 +552,126 @@ def test_queries_are_those_of_the_contracts(spark):
     names = [n for n in e.queries() if re.match(r"op\d+_|pipeline", n)]
     assert len(names) == 11
     assert json.dumps(sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline")) == json.dumps(list(range(1, 11)))
+
+
+def test_mixing_deals_whole_blocks(spark, docs):
+    """Against a deal word by word: a source of one shard is one stream, and its blocks have quotas that differ by one."""
+    got = mixing.mix_sources(docs, seed=3).collect()
+    order = spark.createDataFrame(ROWS, SCHEMA).select("doc_id", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("mix")).collect()
+    mix = {(r.doc_id, r.text): r.mix for r in order}
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for _, t, _, s, _ in ROWS:
+        sizes[s] += size(t)
+    total = sum(sizes.values())
+    target = {r.source: r.target for r in got}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    quota = dict(zip(names, _sainte_lague([target[s] for s in names], round(total / 16)), strict=True))
+    taken = defaultdict(list)
+    for r in got:
+        taken[r.source].append(r.taken)
+    for s in names:
+        n = max(1, -(-sizes[s] // 16))
+        stream = [(i, t) for i, t, _, x, _ in ROWS if x == s]
+        stream.sort(key=lambda r: (mix[r], r[0] is not None, r[0] or 0, size(r[1])))
+        base, once = divmod(quota[s], n)
+        a = [spark.range(1).select((F.pmod(F.xxhash64(F.lit(3), F.lit(names.index(s)), F.lit(0).cast("long")), F.lit(len(mixing.PRIMES)))).alias("a"), F.pmod(F.xxhash64(F.lit(4), F.lit(names.index(s)), F.lit(0).cast("long")), F.lit(1 << 30)).alias("b")).first()][0]
+        more = {j for j in range(n) if (mixing.PRIMES[a.a] * j + a.b) % n < once}
+        assert len(more) == once
+        words = [k for k, (_, t) in enumerate(stream) for _ in range(size(t))]
+        dealt = Counter()
+        for place, k in enumerate(words):
+            dealt[k] += min(3, base + (place // 16 in more))
+        assert sorted(taken[s]) == sorted(dealt[k] for k in range(len(stream)))
+
+
+HUGE = " ".join(f"{w}{k % 977}" for k, w in zip(range(260_000), itertools.cycle(WORDS))) + " last@example.com"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder of small tables with odd rows, two equal texts of megabytes among them."""
+    at = str(tmp_path_factory.mktemp("sf"))
+    rows = [*ROWS, (500, HUGE, "en", "src0", 1), (501, HUGE, "en", "src1", 1)]
+    spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in CLASH}).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 20)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(i, u, "x") for i, u in enumerate([None, "", "http://a.com/en/1?q", "x://example.com/en/7" + "y" * 2_000_000, "http://NET/de/", "http://NET/de/"])], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(i, [0.1 * (i % 7), 0.2]) for i in range(60)] + [(None, [1.0]), (80, None)], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return at, rows
+
+
+def test_queries_of_all_ten(spark, tables):
+    """Each query on its whole tables: columns, a row for each row, and digests by brute force."""
+    import __spark_entry__ as e
+
+    at, rows = tables
+    of = {int(re.match(r"op(\d+)_", n)[1]): q for n, q in e.queries().items() if re.match(r"op\d+_", n)}
+    got = {k: q(spark, at).collect() for k, q in of.items()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert all(len(got[k]) == len(rows) for k in (1, 2, 3, 4, 7, 8, 9, 10)) and len(got[5]) == 6
+    assert Counter((r.doc_id, r.text_sha256) for r in got[1]) == Counter((i, sha(re.sub(WS, " ", t or ""))) for i, t, *_ in rows)
+    sets, find = _components([t for _, t, *_ in rows], 3, 85)
+    first = defaultdict(lambda: 10**9)
+    for k, (i, *_) in enumerate(rows):
+        first[find(k)] = min(first[find(k)], 10**9 if i is None else i)
+    mine = lambda k, i: i if not sets[k] else first[find(k)]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got[2]) == Counter((i, len(sets[k]), mine(k, i), not sets[k] or i == mine(k, i)) for k, (i, *_) in enumerate(rows))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got[3])
+    spans = Counter()
+    for i, t, *_ in rows:
+        found = _plain_spans(t or "")
+        spans[i, *(sum(s[0] == k for s in found) for k in pii.KINDS), sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))] += 1
+        assert all(set(f"{k}:{a}:{b}" for k, a, b in found) <= set(r.spans.split(",")) for r in got[4] if r.doc_id == i and found)
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got[4]) == spans
+    assert Counter((r.rule, r.verdict) for r in got[5]) == Counter({(None, "allow"): 2, ("com/en/", "block"): 1, ("example.com/en/7", "allow"): 1, ("net/de/", "block"): 2})
+    v = {i: np.floor(64 * np.array([np.float64(np.float32(0.1 * (i % 7))), np.float64(np.float32(0.2))])) for i in range(60)} | {None: np.array([64.0, 0])}
+    for q in (0, 20, 40):
+        best = sorted(((int(v[q] @ x), i) for i, x in v.items() if i != q), key=lambda x: (-x[0], x[1] is None, x[1]))[:20]
+        assert [(r.score, r.vec_id) for r in sorted((r for r in got[6] if r.query_id == q), key=lambda r: r.rank)] == best
+    assert {r.lang_pred for r in got[7]} <= {"en", "und"}
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    lib, pieces = Tokenizer.from_file(P.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    ids = [(i, lib.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got[8]) == Counter((i, len(x), sha(",".join(map(str, x))), sha(lib.decode(x, skip_special_tokens=False))) for i, x in ids)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got[9]) == Counter((i, len((t or "").encode()), n := len(pieces.encode(t or "")), n > 4096) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.size) for r in got[10]) == Counter((i, size(t)) for i, t, *_ in rows)
+
+
+def test_tokenizers_that_ask_for_more_are_refused(tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not a plain byte-level BPE"):
+            ByteBpe(str(tmp_path / "t.json"), P.PATTERN)
+
+
+def test_pipeline_rejects_junk_and_keeps_clean_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    clean = common.table(spark, "/root/testdata/sf0.01", "documents")
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(60)) for _ in range(20)]
+    junk += ["".join(chr(rng.randint(0x3B1, 0x3C9)) for _ in range(200)), "".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(300)), "12345 !!!", "", None]
+    # Odd ones are not learned from: crc32 of the id leaves 1.
+    ids = [i for i in range(10**6, 10**6 + 1000) if zlib.crc32(str(i).encode()) % 3 == 1][: len(junk)]
+    every = clean.unionByName(spark.createDataFrame([(i, t, "en", "junk", 1) for i, t in zip(ids, junk, strict=True)], clean.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, every, "").select("doc_id").collect()}
+    worded = {r.doc_id for r in clean.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
+    assert not kept & set(ids) and len(worded - kept) <= 0.002 * len(worded)
+
+
+def test_pipeline_of_an_empty_table_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("clash") for c in CLASH})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        assert stage(spark, df.where("false"), "").collect() == []
+        if name != "bpe":
+            assert out.columns == df.columns and out.count() > 0

@@ -4,7 +4,10 @@ Every stage takes (spark, docs, sf_dir), works on all that the stage before kept
 DataFrame; ``run`` writes it as Parquet and rereads it as the next stage's ``docs``.  All stages but the
 last return the columns of ``documents``.
 
-A model or a tokenizer path is a parameter with the production value as its default.
+Null and empty texts have no language and go in the first stage; later stages given such rows keep one of them
+(exact), keep all (near), take none (mixing) and encode them to no tokens.  Repeated rows are told apart by order alone
+and one stays (exact); null ids are ids of their own.  Columns of any name pass through all stages but the last.  Texts
+of any length are worked on whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from palimpsest.llm.language_id import NONE, identify, train
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.near_dedup import near_dedup
 
-#: A document whose n-grams are less than this share in its language's profile is rejected.
-LEAST_SCORE = 0.1
+#: A document is rejected if less than this share of its n-grams is in its language's profile.  On held-out rows of sf0.1 and
+#: check_s (20,546) the least share of a document is 0.54; of random letters, base64 and foreign scripts none is over 0.12,
+#: of documents with their letters shuffled none over 0.48.
+LEAST_SCORE = 0.5
 #: Five words and 80 %, as nothing else is asked for here.
 SHINGLE_WORDS = 5
 JACCARD = 80

@@ -50,7 +50,7 @@ BLOCK_NODES = 1000
 JOINS = 2
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 6.0
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _word_hash: dict[bytes, int] = {}
 
@@ -100,7 +100,7 @@ def _sets(width: int, rows_out: bool):
                 s = shingle_set(t.as_py() or "", width)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 n.append(len(s))
-                kept.append(s if rows_out else s[:SKETCH])
+                kept.append(s if rows_out else s[:SKETCH].copy())  # a view would hold the whole set
                 size += len(kept[-1])
                 if size > 1 << 20:
                     yield out(k + 1)
@@ -127,16 +127,21 @@ def _forest(threshold: int):
         owner = owner[common]
         wide = int(column.max()) + 1 if len(column) else 0
         overlap = np.zeros((len(nodes), len(nodes)), np.float32)
-        for c in range(0, wide, 4096):  # a strip of columns at a time
-            here = (column >= c) & (column < c + 4096)
-            strip = np.zeros((len(nodes), min(4096, wide - c)), np.float32)
+        for c in range(0, wide, 1024):  # a strip of columns at a time
+            here = (column >= c) & (column < c + 1024)
+            strip = np.zeros((len(nodes), min(1024, wide - c)), np.float32)
             strip[owner[here], column[here] - c] = 1
             overlap += strip @ strip.T
-        linked = 100 * overlap >= threshold * (n[:, None] + n[None, :] - overlap)
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        parts = [slice(i, i + 256) for i in range(0, len(nodes), 256)]
+        for p in parts:
+            shared = overlap[p].astype(np.int64)
+            linked[p] = 100 * shared >= threshold * (n[p, None] + n[None, :] - shared)
+        del overlap
         np.fill_diagonal(linked, True)
         root = np.arange(len(nodes))
         while True:  # each node takes the smallest root among its neighbours', then that one's own
-            new = np.where(linked, root, len(nodes)).min(1)
+            new = np.concatenate([np.where(linked[p], root, len(nodes)).min(1) for p in parts])
             new = np.minimum(new, new[new])
             if (new == root).all():
                 break

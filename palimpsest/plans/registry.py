@@ -18,6 +18,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions import vocabulary as V
 from palimpsest.operators import cells as C
 from palimpsest.operators import corpus as P
+from palimpsest.operators import declarations as Y
 from palimpsest.operators import findings as N
 from palimpsest.operators import gates as G
 from palimpsest.operators import report as R
@@ -352,6 +353,68 @@ def _(spark, sf):
     return G.attribution_problems(lines("x/a at r1", "x/b at r0"), lines("x/a at r1", "x/b at r1", "x/c at r1"))
 
 
+_DRAWS = [("a", "head", None, "text"), ("b", "head", 3, None), ("c", "seeded_random", None, "text"), ("d", "seeded_random", 3, None), ("e", "tail", None, None), ("f", "head", None, "size")]
+
+
+@query("cfg01_selection_problems", "SELECT * FROM (VALUES ('b', 'a seed that nothing uses'), ('b', 'no order'), ('c', 'an order that nothing uses'), ('c', 'no seed'), ('e', 'unknown method'), ('f', 'unknown order')) t(name, problem)")
+def _(spark, sf):
+    return Y.selection_problems(spark.createDataFrame(_DRAWS, "name string, method string, seed int, sort_key string"))
+
+
+def _lineage(spark, sf):
+    """Labels' qualities as baselines trained on the sources of their documents; languages as datasets seeded from theirs."""
+    docs = _docs(spark, sf)
+    met = docs.join(I.table(spark, sf, "labels"), "doc_id").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("baseline"), "source").distinct()
+    trained = met.where("(baseline = 'q1') = (source < 'm')")
+    seeds = docs.select(F.col("lang").alias("dataset"), "source").where("dataset IN ('en', 'de') AND source IS NOT NULL").distinct()
+    relations = spark.createDataFrame([("q0", "en", Y.SEEDED), ("q0", "de", Y.TRAINED_ON), ("q1", "en", "none"), ("q1", "de", None), ("q2", "en", "none")], "baseline string, dataset string, relation string")
+    return relations, trained, seeds
+
+
+_LINEAGE = """met AS (SELECT DISTINCT 'q' || CAST(quality AS VARCHAR) AS baseline, source FROM documents JOIN labels USING (doc_id)), trained AS (SELECT * FROM met WHERE (baseline = 'q1') = (source < 'm')),
+seeds AS (SELECT DISTINCT lang AS dataset, source FROM documents WHERE lang IN ('en', 'de') AND source IS NOT NULL)"""
+
+
+@query("flt11_lineage_problems", f"""WITH {_LINEAGE}, hops AS (SELECT baseline, dataset, array_to_string(list_sort(list(DISTINCT source)), ',') AS hop FROM trained JOIN seeds USING (source) GROUP BY 1, 2),
+r(baseline, dataset, relation) AS (VALUES ('q0', 'en', '{Y.SEEDED}'), ('q0', 'de', '{Y.TRAINED_ON}'), ('q1', 'en', 'none'), ('q1', 'de', NULL), ('q2', 'en', 'none'))
+SELECT * FROM (SELECT baseline, dataset, CASE WHEN relation = '{Y.TRAINED_ON}' THEN 'trained on the dataset' WHEN hop IS NOT NULL AND relation IS DISTINCT FROM '{Y.SEEDED}' THEN 'undeclared hop by ' || hop END AS problem FROM r LEFT JOIN hops USING (baseline, dataset)) WHERE problem IS NOT NULL""")
+def _(spark, sf):
+    return Y.lineage_problems(*_lineage(spark, sf))
+
+
+@query("flt11_required_sources", f"WITH {_LINEAGE} SELECT DISTINCT source FROM seeds WHERE source IN (SELECT source FROM trained)")
+def _(spark, sf):
+    return Y.required_exclusion_sources(*_lineage(spark, sf)[1:])
+
+
+_BASELINES = [("a", "bert", "wordpiece", "r1", 100, "kept", "me"), ("b", "bert", "wordpiece", "r0", 100, "kept", ""), ("c", "deberta", "sentencepiece", None, 90, "dropped", None), ("c", "roberta", "bytes", "r1", None, "dropped", None)]
+
+
+@query("flt12_baseline_set_problems", "SELECT * FROM (VALUES ('a,b', 'same architecture and tokenizer'), ('c', 'declared more than once'), ('b', 'record of a revision that is not pinned'), ('*', 'records of different sample sizes'), ('b', 'kept by nobody''s judgement')) t(subject, problem)")
+def _(spark, sf):
+    kind = "baseline_key string, architecture string, tokenizer string, dataset_revision string, sample_size int, outcome string, judged_by string"
+    return Y.baseline_set_problems(spark.createDataFrame(_BASELINES, kind), spark.createDataFrame([("r1",)], "revision string"))
+
+
+@query("agg15_timing_percentiles", "WITH v AS (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS v FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), b AS (FROM v UNION ALL SELECT 'overall', v FROM v) SELECT event_type, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, count(*) AS n FROM b GROUP BY 1")
+def _(spark, sf):
+    """Event values stand in for timings, which no two runs share."""
+    rows = I.table(spark, sf, "events").where("value IS NOT NULL AND event_type IS NOT NULL").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("elapsed_ns"))
+    return Y.timing_percentiles(rows, "event_type")
+
+
+_WRITTEN = ("see data:text/plain;base64,SGVsbG8= please", "my key is ssh-ed25519 AAAA and no more")
+
+
+@query("srt05_draw_benign_items", f"""WITH {Q.POOL}, code AS (SELECT DISTINCT text FROM pool WHERE label = 0 AND text <> ''), chat AS (SELECT DISTINCT text FROM conversations WHERE role = 'user' AND text <> ''),
+b AS (SELECT text, 'b_code' AS benign_class, 'code' AS source FROM (SELECT text FROM code ORDER BY sha256('11:' || text), text LIMIT 20)
+UNION ALL SELECT text, 'b_chat', 'hand-authored' FROM (VALUES {', '.join(f'({Q.text(t)})' for t in _WRITTEN)}) t(text)
+UNION ALL SELECT text, 'b_chat', 'conversations' FROM (SELECT text FROM chat ORDER BY sha256('11:' || text), text LIMIT 18)) SELECT left(sha256(text), 16) AS payload_id, benign_class, source FROM b""")
+def _(spark, sf):
+    written = spark.createDataFrame([(t,) for t in _WRITTEN], "text string")
+    return Y.draw_benign_items(I.pool(spark, sf).where("label = 0"), I.chat(spark, sf), written, 20, 2, 11, "conversations").select("payload_id", "benign_class", "source")
+
+
 _GONE = "gone AS (SELECT sha256(text) AS digest FROM benchmark UNION SELECT sha256(text) FROM pool WHERE index % 10 = 0)"
 
 
@@ -700,14 +763,23 @@ def _(spark, sf):
     return C.ordered(_cells(spark, sf))
 
 
+@query("gat04_coordinate_problems", f"WITH {Q.CELLS} SELECT kind, baseline_key, contrast || '?' AS contrast FROM cells WHERE kind = 'auc' AND chain = 'rot13'")
+def _(spark, sf):
+    """The areas of one chain under a contrast that is none."""
+    odd = (F.col("kind") == "auc") & (F.col("chain") == "rot13")
+    return Y.coordinate_problems(_cells(spark, sf).withColumn("contrast", F.when(odd, F.concat("contrast", F.lit("?"))).otherwise(F.col("contrast"))))
+
+
 @query("agg12_pooling", f"WITH {Q.CELLS} SELECT kind, {Q.AXES}, contrast FROM cells WHERE (family = 'benign' AND benign_class IS NULL) OR (chain_class IS NULL AND NOT coalesce(starts_with(contrast, 'clean_vs_'), false))")
 def _(spark, sf):
     return C.pooling_problems(_cells(spark, sf))
 
 
-@query("join19_completeness", f"WITH {Q.CELLS} SELECT CAST('x' AS VARCHAR) AS baseline_key, CAST('x' AS VARCHAR) AS chain, CAST('x' AS VARCHAR) AS family, CAST('x' AS VARCHAR) AS benign_class, true AS canon_on WHERE false")
+@query("join19_completeness", f"WITH {Q.CELLS} SELECT baseline_key, chain, family, benign_class, canon_on FROM cells WHERE kind = 'rate' AND (chain = 'hex' OR benign_class = 'b_chat' AND NOT canon_on)")
 def _(spark, sf):
-    return C.completeness_problems(_cells(spark, sf), M.baseline_table(spark), P.chain_table(spark))
+    """Cells that have lost one chain's rates, and raw rates of one class."""
+    lost = "kind = 'rate' AND (chain = 'hex' OR coalesce(benign_class, '') = 'b_chat' AND NOT canon_on)"
+    return C.completeness_problems(_cells(spark, sf).where(f"NOT ({lost})"), M.baseline_table(spark), P.chain_table(spark))
 
 
 _TABLES = [(40, 10, 2, 48), (30, 0, 0, 70), (0, 12, 3, 0), (5, 7, 9, 11), (1, 0, 0, 1)]

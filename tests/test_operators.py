@@ -236,3 +236,36 @@ def test_findings_name_their_cells(spark):
     met = R.anchored(found, every).collect()
     assert met and {r.cells for r in met} == {1}
     assert {r.cells for r in R.anchored(found, every.union(every)).collect()} == {2}
+
+
+def test_declarations(spark, tmp_path):
+    from palimpsest.operators import declarations as Y
+
+    good = '[draw]\nmethod = "head"\n[[baseline]]\nkey = "a"\narchitecture = "bert"\ntokenizer = "w"\nthreshold = 0.5\n'
+    (tmp_path / "d.toml").write_text(good)
+    assert [tuple(r) for r in Y.baselines_of(spark, Y.read_declaration(f"{tmp_path}/d.toml")).collect()] == [("a", "bert", "w", 0.5)]
+    (tmp_path / "d.toml").write_text(good.replace("0.5", "2.5").replace("[draw]", "[x]").replace('tokenizer = "w"', "tokenizer = 1"))
+    with pytest.raises(W.InputRefused) as e:
+        Y.read_declaration(f"{tmp_path}/d.toml")
+    assert len(e.value.problems) == 3
+    assert Y.positive_index({0: "SAFE", 1: " Injection "}) == 1
+    for labels in ({0: "a"}, {0: "injection", 1: "jailbreak"}):
+        with pytest.raises(W.InputRefused):
+            Y.positive_index(labels)
+    assert Y.special_frame([([5, 6], [1, 5, 6, 2]), ([7], [1, 7, 2])], 2) == ((1,), (2,))
+    for probes, n in (([([5], [1, 5, 2])], 3), ([([5], [5, 5])], 1), ([([], [1, 2])], 2), ([([5], [1, 6, 2])], 2)):
+        with pytest.raises(W.InputRefused):
+            Y.special_frame(probes, n)
+    assert Y.render_results({"a": 1}, [{"k": 1}], []).startswith('{\n  "schema_version": 1,\n  "run"')
+    with pytest.raises(ValueError):
+        Y.render_results({"a": 1}, [{"k": float("nan")}], [])
+    (tmp_path / "x").write_text("x")
+    assert Y.presence_problems(spark, [f"{tmp_path}/x", f"{tmp_path}/y"]) == [f"{tmp_path}/y"] and Y.presence_problems(spark, [f"{tmp_path}/y"]) == []
+    texts = lambda *ts: spark.createDataFrame([(t,) for t in ts], "text string")
+    assert {r.problem for r in Y.draw_problems(texts("a"), texts("h", "c"), texts("h", "h"), 2, 1).collect()} == {"not as many hand-written texts as allowed", "a hand-written text twice", "a hand-written text in the pool", "too few code texts"}
+    with pytest.raises(W.InputRefused):
+        Y.draw_benign_items(texts("a"), texts("c"), texts("h"), 3, 1, 1, "s")
+    rows = Y.timed(spark.createDataFrame([("a", "x" * 50), ("b", "pay\u200bpal"), ("a", None)], "kind string, text string"))
+    assert rows.where("elapsed_ns >= 0").count() == 3 and {r.kind: r.n for r in Y.timing_percentiles(rows, "kind").collect()} == {"a": 2, "b": 1, "overall": 3}
+    verdicts = spark.createDataFrame([("N2", "not_triggered", '{"pairs":6,"degraded":1}')], "condition string, outcome string, computed string")
+    assert Y.verdict_lines(verdicts).first().line == "N2: not triggered (pairs = 6; degraded = 1)"

@@ -97,6 +97,6 @@ def _levels(t):
     return max(k for k in range(1, 5) if _declines(t, k))
 
 
-@pytest.mark.parametrize("name", ["txt11_message_problems", "flt10_licence_problems", "flt13_cell_problems", "gat03_foreign_shards", "att01_attribution_problems"])
+@pytest.mark.parametrize("name", ["txt11_message_problems", "flt10_licence_problems", "flt13_cell_problems", "gat03_foreign_shards", "att01_attribution_problems", "cfg01_selection_problems", "flt11_lineage_problems", "flt11_required_sources", "flt12_baseline_set_problems", "agg15_timing_percentiles"])
 def test_gates_over_declarations(spark, con, name):
     test_query(spark, con, name)

@@ -24,7 +24,7 @@ from palimpsest.sources.files import InputRefused, exists
 TRAINED_ON, SEEDED = "trained-on", "seeded-from-declared-training-source"
 HEAD, SEEDED_RANDOM = "head", "seeded_random"
 SORT_KEYS = ("text", "payload_id")
-POSITIVE_NAMES = ("injection", "jailbreak", "malicious", "unsafe", "label_1")
+POSITIVE_NAMES = ("injection", "prompt_injection", "prompt-injection", "jailbreak", "malicious", "unsafe", "attack")
 LEAST_BASELINES = 2
 RESULT_KEYS = ("schema_version", "run", "cells", "verdict")
 

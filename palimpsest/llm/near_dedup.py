@@ -14,7 +14,7 @@ common values, are looked for in the long lists, by full sets in blocks of bound
 1. Within each block of the list of a node's lowest common value, exact links are found; then components of
    different blocks are joined by comparing one node of each, in a few rounds.
 2. In each of its first ``LONG_VALUES`` long lists, whatever is not in the list's largest component is compared
-   with all of the list, block by block.  Two nodes of one component need no link of their own.
+   with all of the list: any two blocks meet once, but for two of that component, whose nodes need no link of their own.
 
 So a group of a million near copies costs about as many comparisons as it has blocks, not their square, and
 no link is lost to a cap.  What can be lost is a pair of sets above ``INDEXED`` elements whose samples mislead:
@@ -45,7 +45,7 @@ LACK = 18
 #: are compared in arrays of all nodes by all nodes.
 LONG_VALUES = 12
 BLOCK_ELEMENTS = 1 << 18
-BLOCK_NODES = 1000
+BLOCK_NODES = 500
 #: Rounds in which components of a long list are joined by one node of each.
 JOINS = 2
 #: Standard deviations that an estimate may lie below the threshold.
@@ -284,13 +284,19 @@ def _long_labels(held: Tables, common: DataFrame, full: DataFrame, known: DataFr
     parts = at.groupBy("v", "root").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
     largest = F.max(F.struct("members", "elements", "root"))
     lists = parts.groupBy("v").agg(largest.alias("most"), F.sum("members").alias("members"), F.sum("elements").alias("elements")).where("members > most.members")
-    rest = _blocks(F.col("elements") - F.col("most.elements"), F.col("members") - F.col("most.members"))
-    lists = lists.select("v", F.col("most.root").alias("most"), _blocks(F.col("elements"), F.col("members")).alias("blocks"), rest.alias("s_blocks"))
+    rests = _blocks(F.col("elements") - F.col("most.elements"), F.col("members") - F.col("most.members"))
+    lists = lists.select("v", F.col("most.root").alias("most"), rests.alias("rests"), _blocks(F.col("most.elements"), F.col("most.members")).alias("mosts"))
     at = at.join(lists, "v")
-    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    every = at.select("v", "node", to_all("s_blocks").alias("s_block"), place("blocks").alias("block"))
-    others = at.where("root != most").select("v", "node", place("s_blocks").alias("s_block"), to_all("blocks").alias("block"))
-    new = held.cut(found(every.union(others).distinct()), "others")
+    # Blocks of the rest are 0 to rests - 1, those of the largest component follow; two blocks meet once.
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda i, j: F.struct(i.alias("s_block"), j.alias("block"))
+    mine = place("rests")
+    with_rest = F.transform(F.filter(each("rests"), lambda j: j != mine), lambda j: pair(F.least(j, mine), F.greatest(j, mine)))
+    with_most = F.transform(each("mosts"), lambda k: pair(mine, F.col("rests") + k))
+    of_most = F.transform(each("rests"), lambda j: pair(j, F.col("rests") + place("mosts")))
+    meets = F.explode(F.when(F.col("root") != F.col("most"), F.concat(with_rest, with_most)).otherwise(of_most)).alias("meet")
+    every = at.select("v", "node", meets).select("v", "node", "meet.s_block", "meet.block")
+    new = held.cut(found(every), "others")
     return connected(known.union(new)) if new.limit(1).count() else label
 
 

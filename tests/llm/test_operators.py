@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -310,6 +311,20 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.url_verdicts(pages, url_filter.rule_table(spark, [])).collect()} == {"allow"}
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    """Each rule's word by itself, and in DuckDB's SQL too."""
+    listed = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{a} {h}{p}" for a, h, p in url_filter.RULES] == listed.split(", ")
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/1", "http://example.net/de/81", "http://org/es/", "http://net/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+    got = url_filter.op5_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.execute(url_filter.OP5_SQL).fetchall()) == sorted(tuple(r) for r in got)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)], "x") for i in range(400)]
@@ -624,7 +639,7 @@ def test_queries_of_all_ten(spark, tables):
         spans[i, *(sum(s[0] == k for s in found) for k in pii.KINDS), sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))] += 1
         assert all(set(f"{k}:{a}:{b}" for k, a, b in found) <= set(r.spans.split(",")) for r in got[4] if r.doc_id == i and found)
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got[4]) == spans
-    assert Counter((r.rule, r.verdict) for r in got[5]) == Counter({(None, "allow"): 2, ("com/en/", "block"): 1, ("example.com/en/7", "allow"): 1, ("net/de/", "block"): 2})
+    assert Counter((r.rule, r.verdict) for r in got[5]) == Counter({(None, "allow"): 2, ("com/en/", "block"): 1, ("example.com/en/7", "allow"): 1, ("net/de/", "allow"): 2})
     v = {i: np.floor(64 * np.array([np.float64(np.float32(0.1 * (i % 7))), np.float64(np.float32(0.2))])) for i in range(60)} | {None: np.array([64.0, 0])}
     for q in (0, 20, 40):
         best = sorted(((int(v[q] @ x), i) for i, x in v.items() if i != q), key=lambda x: (-x[0], x[1] is None, x[1]))[:20]

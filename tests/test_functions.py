@@ -8,6 +8,7 @@ import random
 import unicodedata
 from urllib.parse import quote
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,16 @@ def test_other_statistics(spark):
     assert _values(w, S.windows(F.col("t"), 2)) == [[["a", "b"], ["c", "d"], ["e"]], [[]]]
     for n, (num, den) in itertools.product(range(1, 50), ((1, 2), (19, 20), (7, 100))):
         assert -(-num * n // den) == (num * n + den - 1) // den
+
+
+def test_a_batch_of_edits_is_sent_in_slices(spark):
+    """A text of hidden characters is tens of times its size in edits: no batch of rows is held as edits at once."""
+    texts = [None, "", ZW.join("x" * 40_000), *[ZW.join(f"text {i}") for i in range(3000)], None, ZW.join("y" * 60_000)]
+    for udf in (K.stage_udf("invisible"), K.traced_udf(), K.canonical_udf()):
+        parts = list(udf.func(iter([pa.array(texts[:2000]), pa.array(texts[2000:])])))
+        assert len(parts) >= 6 and all(len(p) <= K.SLICE_ROWS and p.nbytes < 20 * K.SLICE_BYTES for p in parts)
+        rows = [r for p in parts for r in p.to_pylist()]
+        assert [r and r["text"] for r in rows] == [t if t is None else t.replace(ZW, "") for t in texts]
+        if "edits" in rows[1]:
+            assert [r and len(r["edits"]) for r in rows] == [t if t is None else t.count(ZW) for t in texts]
+            assert K.replay(texts[2], [K.Edit(**e) for e in rows[2]["edits"]]) == "x" * 40_000

@@ -5,6 +5,7 @@ import glob
 import hashlib
 import math
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -100,3 +101,15 @@ def _levels(t):
 @pytest.mark.parametrize("name", ["txt11_message_problems", "flt10_licence_problems", "flt13_cell_problems", "gat03_foreign_shards", "att01_attribution_problems", "cfg01_selection_problems", "flt11_lineage_problems", "flt11_required_sources", "flt12_baseline_set_problems", "agg15_timing_percentiles"])
 def test_gates_over_declarations(spark, con, name):
     test_query(spark, con, name)
+
+
+def _canonicalizers(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"ArrowEvalPython \[run\(", plan))
+
+
+@pytest.mark.parametrize("name", ["join14_agreement", "join13_coverage", "run_resume_owed"])
+def test_carried_scores_are_computed_once(spark, con, name):
+    """Rows that come back several times are read again, not scored again."""
+    assert _canonicalizers(registry.queries()[name](spark, SF)) == 0
+    test_query(spark, con, name)

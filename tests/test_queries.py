@@ -113,3 +113,15 @@ def test_carried_scores_are_computed_once(spark, con, name):
     """Rows that come back several times are read again, not scored again."""
     assert _canonicalizers(registry.queries()[name](spark, SF)) == 0
     test_query(spark, con, name)
+
+
+def test_edit_census_canonicalizes_once(spark, con):
+    """Stages and scores come from one pass over the items, which is written; before, the scores made a second one."""
+    assert _canonicalizers(registry.queries()["agg06_edit_census"](spark, SF)) == 0
+    test_query(spark, con, "agg06_edit_census")
+
+
+def test_completeness_makes_rates_alone(spark, con):
+    """Nothing is written or ordered for areas that the gate does not look at."""
+    assert _canonicalizers(registry.queries()["join19_completeness"](spark, SF)) == 1
+    test_query(spark, con, "join19_completeness")

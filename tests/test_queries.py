@@ -125,3 +125,10 @@ def test_completeness_makes_rates_alone(spark, con):
     """Nothing is written or ordered for areas that the gate does not look at."""
     assert _canonicalizers(registry.queries()["join19_completeness"](spark, SF)) == 1
     test_query(spark, con, "join19_completeness")
+
+
+def test_round_trip_sends_each_dressed_text_once(spark, con):
+    """One pass through Python for each row of text and chain; before, entropies and both canonical texts were passes of their own."""
+    plan = registry.queries()["drs18_round_trip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    test_query(spark, con, "drs18_round_trip")

@@ -88,10 +88,18 @@ def tokens(normal: Column) -> Column:
 def shingles(words: Column, k: int = V.SHINGLE) -> Column:
     """TXT-03: the set of k-grams of words, joined by spaces; empty if there are fewer words."""
     n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
+    # ``slice`` copies all words for each gram, which costs the square of a text's words.
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
     return F.when(n >= k, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_shingles(words: Column, k: int = V.SHINGLE) -> Column:
+    """A hash of each k-gram of words, in order; empty if there are fewer words."""
+    n = F.size(words)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.when(n >= k, grams).otherwise(F.array().cast("array<bigint>"))
+
+
 def contains_run(text: Column, run: Column) -> Column:
     """TXT-04: whether ``run`` occurs in ``text`` as whole tokens."""
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))

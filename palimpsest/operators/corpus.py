@@ -11,6 +11,7 @@ from palimpsest.functions import canon as K
 from palimpsest.functions import dressings as D
 from palimpsest.functions import text as T
 from palimpsest.functions import vocabulary as V
+from palimpsest.sources.shared import materialize
 
 
 def withdraw(pool: DataFrame, withdrawals: DataFrame) -> DataFrame:
@@ -151,31 +152,35 @@ def similar(sources: DataFrame, payloads: DataFrame, ratio: float = V.OVERLAP_RA
     shingles, so it has one of the rarest of them, one more than it may lack: only these are looked up, and
     a shingle that all texts share brings nothing together unless a payload has no rarer ones.  Payloads of
     fewer than ``k`` tokens are found by runs of the lengths that occur among them, in the same way.
+
+    The index holds hashes, and of the sources only those that some payload has, written once; a collision brings a pair
+    together that is not confirmed.  Texts and their sets of shingles are read for such pairs alone.
     """
     source = sources.select("id", T.normalized("text").alias("norm")).select("id", T.tokens(F.col("norm")).alias("w"))
     wanted = payloads.select("payload_id", T.normalized("text").alias("norm")).select("payload_id", "norm", T.tokens(F.col("norm")).alias("w"))
     wanted = wanted.where(F.size("w") > 0)
+    occur = [r["n"] for r in wanted.where(F.size("w") < k).select(F.size("w").alias("n")).distinct().collect()]  # fewer than k
     long = wanted.where(F.size("w") >= k).withColumn("s", T.shingles(F.col("w"), k))
-    every = long.select("payload_id", F.size("s").alias("need"), F.explode("s").alias("s"))
-    have = source.select("id", F.explode(T.shingles(F.col("w"), k)).alias("s"))
-    often = have.join(every.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.count("*").alias("often"))
-    rarest = Window.partitionBy("payload_id").orderBy("often", "s")
-    rare = every.join(often, "s", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("place", F.row_number().over(rarest))
+    every = long.select("payload_id", F.size("s").alias("need"), F.explode(F.array_distinct(T.hashed_shingles(F.col("w"), k))).alias("h"))
+    brief = wanted.where(F.size("w") < k)
+    for n in sorted(occur):
+        brief = brief.withColumn(f"h{n}", F.get(T.hashed_shingles(F.col("w"), n), F.lit(0)).alias("h"))
+    brief = brief.select("payload_id", F.coalesce(*[F.when(F.size("w") == n, F.col(f"h{n}")) for n in sorted(occur)], F.lit(None).cast("long")).alias("h"))
+    grams = F.array_distinct(F.concat(*[T.hashed_shingles(F.col("w"), n) for n in (*sorted(occur), k)]))
+    sought = every.select("h").union(brief.select("h")).distinct()
+    have = materialize(source.select("id", F.explode(grams).alias("h")).join(sought, "h", "left_semi"), "have")
+    often = have.groupBy("h").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("payload_id").orderBy("often", "h")
+    rare = every.join(often, "h", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("place", F.row_number().over(rarest))
     # With at least ceil(ratio * need) shared, at most need less that are lacking.
-    rare = rare.where(F.col("place") <= F.col("need") - F.ceil(ratio * F.col("need") - 1e-9) + 1).where("often > 0").select("payload_id", "s")
-    pairs = have.join(rare, "s").select("id", "payload_id").distinct()
-    met = pairs.join(long.select("payload_id", F.col("s").alias("ps")), "payload_id").join(source.select("id", T.shingles(F.col("w"), k).alias("ss")), "id")
-    score = F.size(F.array_intersect("ps", "ss")) / F.size("ps")
-    near = met.withColumn("score", score).where(F.col("score") >= ratio).select("id", "payload_id", "score")
-    whole = near.where("score = 1").join(wanted.select("payload_id", "norm"), "payload_id").join(source, "id")
-    whole = whole.where(T.contains_run(F.array_join("w", " "), F.col("norm"))).select("id", "payload_id", F.lit("contains").alias("found"))
-    out = near.join(whole, ["id", "payload_id"], "left").withColumn("kind", F.coalesce("found", F.lit("shingles"))).drop("found")
-    brief = wanted.where(F.size("w") < k).select("payload_id", "norm")
-    occur = [r["n"] for r in wanted.where(F.size("w") < k).select(F.size("w").alias("n")).distinct().collect()]  # fewer than k
-    lengths = [T.shingles(F.col("w"), j) for j in sorted(occur)] or [F.array().cast("array<string>")]
-    runs = source.select("id", F.explode(F.array_distinct(F.flatten(F.array(*lengths)))).alias("norm"))
-    short = runs.join(brief, "norm").select("id", "payload_id", F.lit(None).cast("double").alias("score"), F.lit("contains").alias("kind"))
-    return out.select("id", "payload_id", "score", "kind").union(short)
+    rare = rare.where(F.col("place") <= F.col("need") - F.ceil(ratio * F.col("need") - 1e-9) + 1).where("often > 0").select("payload_id", "h")
+    pairs = have.join(rare.union(brief), "h").select("id", "payload_id").distinct()
+    met = pairs.join(wanted.select("payload_id", "norm", T.shingles(F.col("w"), k).alias("ps")), "payload_id").join(source, "id")
+    shared = F.size(F.array_intersect("ps", T.shingles(F.col("w"), k))) / F.nullif(F.size("ps"), F.lit(0))
+    found = met.withColumn("score", shared).where(F.col("score").isNull() | (F.col("score") >= ratio))
+    holds = F.when(F.coalesce("score", F.lit(1.0)) == 1, T.contains_run(F.array_join("w", " "), F.col("norm"))).otherwise(F.lit(False))
+    out = found.select("id", "payload_id", "score", F.when(holds, F.lit("contains")).otherwise(F.lit("shingles")).alias("kind"))
+    return out.where("score IS NOT NULL OR kind = 'contains'")
 
 
 def tally(stages: list[tuple[str, DataFrame]]) -> DataFrame:

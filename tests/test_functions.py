@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import unicodedata
 from urllib.parse import quote
 
@@ -173,3 +174,19 @@ def test_a_batch_of_edits_is_sent_in_slices(spark):
             hidden = [r and [K.Edit(**e) for e in r["edits"] if e["stage"] == "invisible"] for r in rows]
             assert [r if r is None else len(r) for r in hidden] == [t if t is None else t.count(ZW) for t in texts]
             assert K.replay(texts[2], hidden[2]) == "x" * 40_000
+
+
+def test_shingles_do_not_copy_all_words_for_each(spark):
+    """A slice copies the whole array, so a text's shingles cost the square of its words."""
+    assert "slice" not in str(T.shingles(F.col("w")))
+    rows = spark.createDataFrame([(["a", "b", "a", "b", "a", "b", "a"],), (["a", "b"],), ([],)], "w array<string>")
+    assert [r[0] for r in rows.select(T.shingles(F.col("w"), 3)).collect()] == [["a b a", "b a b"], [], []]
+
+
+def test_runs_are_those_of_a_pattern():
+    """Runs found in one pass, by ends, beyond ASCII too, are the maximal ones; what is not traced folds and deletes alike."""
+    texts = ["", "x" * 15, "x" * 16, "é" + "x" * 16 + "é", "ab " * 9 + "Z" * 30, "/=" * 9 + "\U0001f600" + "f0" * 8, "\u200b" + "0a" * 9 + "\u0430" * 20]
+    for t in texts:
+        for outside, chars in ((K._NOT_B64, "A-Za-z0-9+/="), (K._NOT_HEX, "0-9A-Fa-f")):
+            assert K._runs(t, outside, 16) == [m.span() for m in re.finditer(f"[{chars}]{{16,}}", t)]
+        assert K.canonicalize(t, trace=False)[2:] == K.canonicalize(t)[2:] and K.canonicalize(t, trace=False).text == K.canonicalize(t).text

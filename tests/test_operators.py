@@ -269,3 +269,13 @@ def test_declarations(spark, tmp_path):
     assert rows.where("elapsed_ns >= 0").count() == 3 and {r.kind: r.n for r in Y.timing_percentiles(rows, "kind").collect()} == {"a": 2, "b": 1, "overall": 3}
     verdicts = spark.createDataFrame([("N2", "not_triggered", '{"pairs":6,"degraded":1}')], "condition string, outcome string, computed string")
     assert Y.verdict_lines(verdicts).first().line == "N2: not triggered (pairs = 6; degraded = 1)"
+
+
+def test_cross_check_reads_texts_for_pairs_alone(spark):
+    """Shingles of sources are written once as hashes of those that payloads have; before, every pass made and dealt all of them."""
+    sources = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x a b c d e f g h y"), (3, "p q r"), (4, "z z p q z"), (5, "")], "id long, text string")
+    payloads = spark.createDataFrame([(10, "a b c d e f g h"), (11, "p q"), (12, "q"), (13, "no such words at all here")], "payload_id long, text string")
+    df = P.similar(sources, payloads)
+    assert "slice" not in df._jdf.queryExecution().optimizedPlan().toString() and df._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 3
+    got = sorted((r.id, r.payload_id, r.score, r.kind) for r in df.collect())
+    assert got == [(1, 10, 1.0, "contains"), (2, 10, 1.0, "contains"), (3, 11, None, "contains"), (3, 12, None, "contains"), (4, 11, None, "contains"), (4, 12, None, "contains")]

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import unicodedata
+from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -162,6 +163,43 @@ def test_other_statistics(spark):
         assert -(-num * n // den) == (num * n + den - 1) // den
 
 
+def test_each_prefix_of_a_chain_is_dressed_once(spark):
+    from palimpsest.operators import corpus as P
+
+    kind = "text string, family string, benign_class string, label int, source string"
+    items = P.render(spark.createDataFrame([(t, V.ATTACK, None, 1, "s") for t in ODD], kind))
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    for link, call in (("base64", "Base64.encode("), ("hex", "lower(hex("), ("zero_width", "split(")):
+        prefixes = {c[:k] for c in V.CHAINS for k in range(1, len(c) + 1) if c[k - 1] == link}
+        assert plan.count(call) == len(prefixes), link
+    made = {(r.payload_id, r.chain): r.text for r in items.collect()}
+    alone = {D.chain_name(c): _values(_column(spark, ODD), D.dress(F.col("t"), c)) for c in V.CHAINS}
+    assert made == {(p, c): x for c, texts in alone.items() for p, x in zip((hashlib.sha256(t.encode()).hexdigest()[:16] for t in ODD), texts, strict=True)}
+
+
+def test_links_are_those_of_the_standard_library_at_any_length(spark):
+    rng = random.Random(5)
+    for n in (*range(12), 1000, 4099):
+        raw = rng.randbytes(n)
+        assert D.b32(raw) == base64.b32encode(raw).decode()
+    texts = ["", "a", "a\r\nb", "\U0001f600\U0001f601$0", "x" * D.SPLIT_CHARS, "xy\U0001f600" + "x" * D.SPLIT_CHARS]
+    assert _values(_column(spark, texts), D.zero_width(F.col("t"))) == [ZW.join(t) for t in texts]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Spark's own bound, which the canonicalizer's memory rests on: rows of any length, a batch of 64 MB and one row."""
+
+    @F.arrow_udf("long")
+    def size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([b.nbytes] * len(b), pa.int64())
+
+    most = 64 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(most)
+    rows = spark.range(300, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    assert rows.select(size("t").alias("n")).agg(F.max("n")).first()[0] < most + (2 << 20)
+
+
 def test_a_batch_of_edits_is_sent_in_slices(spark):
     """A text of hidden characters is tens of times its size in edits: no batch of rows is held as edits at once."""
     texts = [None, "", ZW.join("x" * 40_000), *[ZW.join(f"text {i}") for i in range(3000)], None, ZW.join("y" * 60_000)]

@@ -7,13 +7,17 @@ import math
 import os
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.functions import dressings as D
 from palimpsest.functions import vocabulary as V
 from palimpsest.plans import registry
+from palimpsest.sources.shared import BATCH_BYTES
 
 SF = "/root/testdata/sf0.001"
 CHOSEN = [
@@ -132,3 +136,27 @@ def test_round_trip_sends_each_dressed_text_once(spark, con):
     plan = registry.queries()["drs18_round_trip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     test_query(spark, con, "drs18_round_trip")
+
+
+def test_scores_send_python_small_batches(spark, monkeypatch):
+    """Cells, keyed rows and scores, by a canonicalizer that stops at a batch of more than the bound and a row; before, these 40 MB were one."""
+    most = BATCH_BYTES + (1 << 20)
+
+    @F.arrow_udf("struct<text:string,ceiling_hit:boolean,max_depth_reached:int,stages:array<string>>")
+    def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            assert b.nbytes < most, f"a batch of {b.nbytes} bytes"
+            columns = [b, pa.array([False] * len(b)), pa.array([0] * len(b), pa.int32()), pa.array([[]] * len(b), pa.list_(pa.string()))]
+            yield pa.StructArray.from_arrays(columns, ["text", "ceiling_hit", "max_depth_reached", "stages"])
+
+    def items(spark, sf):
+        of = spark.range(200, numPartitions=1).withColumn("payload_id", F.lpad(F.hex("id"), 16, "0")).withColumn("item_id", F.lower(F.concat("payload_id", F.lit("::clean"))))
+        attack = F.col("id") % 2 == 0
+        return of.select("item_id", F.when(attack, "attack").otherwise("benign").alias("family"), F.when(~attack, "b_code").alias("benign_class"), attack.cast("int").alias("label"), F.repeat(F.hex("id"), 100_000).alias("text"))
+
+    monkeypatch.setattr(registry.K, "canonical_udf", lambda *ceiling: plain)
+    monkeypatch.setattr(registry, "_items", items)
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for made in (registry._cells, registry._keyed, registry._scores):
+        assert made(spark, SF).count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == held
